@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import exact_dedup, fingerprints, ngram_join
 from .common import table
 
 
@@ -12,6 +12,14 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join,)}
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chunks")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op5_fingerprints, op9_exact_dedup)}
+
+ORACLE_SQL: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE}
