@@ -334,7 +334,7 @@ def _signed_sets(percent: int, frequent: int):
             n = int(size[lo])
             found = signatures(token[lo:hi], often[lo:hi], n, percent, frequent)
             if found is not None and len(found):
-                rows.append((int(node[lo]), n, token[lo:hi].tobytes(), (found >> U(1)).astype(np.int64)))
+                rows.append((int(node[lo]), n, hi - lo, token[lo:hi].tobytes(), (found >> U(1)).astype(np.int64)))
                 held += len(found) + hi - lo
             if held > 1_000_000:
                 yield _set_batch(rows)
@@ -347,38 +347,32 @@ def _signed_sets(percent: int, frequent: int):
 
 def _set_batch(rows):
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
-        names=["node", "n", "tokens", "sigs"],
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.list_(pa.int64()))],
+        names=["node", "n", "s", "tokens", "sigs"],
     )
 
 
-def _verified(percent: int):
-    """Pairs (a, b) whose sets are similar enough, of (a, b, n_a, n_b, tokens_a, tokens_b)."""
-
-    def run(batches):
-        for batch in batches:
-            a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
-            ta, tb = batch.column(4), batch.column(5)
-            ok = np.zeros(len(a), dtype=bool)
-            last, x = None, None
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, x = a[i], np.frombuffer(ta[i].as_buffer(), dtype=np.uint64)
-                y = np.frombuffer(tb[i].as_buffer(), dtype=np.uint64)
-                both = np.sort(np.concatenate((x, y)))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok[i] = 100 * common >= percent * (na[i] + nb[i] - common)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok], pa.int64()), pa.array(b[ok], pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b), those that hold. Sets travel to a's side once for each b."""
-    body = sets.select("node", "n", "tokens")
-    withb = pairs.join(body.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b")), "b")
-    both = withb.join(body.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a")), "a")
-    return both.select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(_verified(percent), "a long, b long")
+def _counted(batches):
+    """(a, b, n_a, n_b, common) of (a, b, n_a, n_b, tokens_a, tokens_b): how many tokens the two share."""
+    for batch in batches:
+        a, ta, tb = batch.column(0).to_numpy(), batch.column(4), batch.column(5)
+        common = np.zeros(len(a), dtype=np.int64)
+        last, x = None, None
+        for i in range(len(a)):
+            if a[i] != last:
+                last, x = a[i], np.frombuffer(ta[i].as_buffer(), dtype=np.uint64)
+            both = np.sort(np.concatenate((x, np.frombuffer(tb[i].as_buffer(), dtype=np.uint64))))
+            common[i] = np.count_nonzero(both[1:] == both[:-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(common, pa.int64())], names=["a", "b", "n_a", "n_b", "common"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b, n_a, n_b) with common and linked. Sets travel to a's side once for each b."""
+    body = sets.select("node", "tokens")
+    withb = pairs.select("a", "b", "n_a", "n_b").join(body.select(F.col("node").alias("b"), F.col("tokens").alias("t_b")), "b")
+    both = withb.join(body.select(F.col("node").alias("a"), F.col("tokens").alias("t_a")), "a")
+    counted = both.select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(_counted, "a long, b long, n_a long, n_b long, common long")
+    return counted.withColumn("linked", F.expr(f"100 * common >= {percent} * (n_a + n_b - common)"))
 
 
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
@@ -423,26 +417,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = texts.mapInArrow(_token_blocks(width, 64 - bits, buckets), "bucket int, block binary")
     shared = blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared_tokens(buckets), "bucket int, block binary")
     sets = materialize(
-        shared.repartitionById(buckets, F.col("bucket")).mapInArrow(_signed_sets(percent, frequent), "node long, n long, tokens binary, sigs array<long>"), "sets"
+        shared.repartitionById(buckets, F.col("bucket")).mapInArrow(_signed_sets(percent, frequent), "node long, n long, s long, tokens binary, sigs array<long>"), "sets"
     )
-    signed = sets.select(F.explode("sigs").alias("sig"), "node", "n")
-    pivots = signed.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("k")).where("k > 1").select("sig", "p")
-    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    star = signed.join(pivots, "sig").where("node <> p.node").select(F.col("p.node").alias("a"), F.col("p.n").alias("n_a"), F.col("node").alias("b"), F.col("n").alias("n_b"))
-    star = materialize(star.where(fits).select("a", "b").distinct(), "star")
-    first = materialize(_links(star, sets, percent), "links")
-    labels = components(first)
-    # What is left: pairs of a bucket that lie in different components and are not yet verified.
-    labelled = signed.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("label", "node").alias("label"))
+    signed = sets.select(F.explode("sigs").alias("sig"), "node", "n", "s")
+    pivots = signed.groupBy("sig").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "node", "n", "s")).alias("p"), F.count("*").alias("k")).where("k > 1").select("sig", "p")
+    # A link's intersection is percent / (100 + percent) of the summed sizes at least, and no larger than what
+    # either set shares with any other.
+    fits = f"{100 + percent} * least(s_a, s_b) >= {percent} * (n_a + n_b)"
+    side = lambda of, name: [F.col(f"{of}{c}").alias(f"{c}_{name}") for c in ("n", "s")]
+    # Pivots are the nodes with the fewest tokens of their own: the most central of a family of edited copies.
+    pivots = signed.groupBy("sig").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "node", "n", "s")).alias("p"), F.count("*").alias("k")).where("k > 1")
+    star = signed.join(pivots, "sig").where("node <> p.node").select(F.col("p.node").alias("a"), F.col("node").alias("b"), *side("p.", "a"), *side("", "b"))
+    star = materialize(_verified(star.where(fits).select("a", "b", "n_a", "n_b").distinct(), sets, percent), "star")
+    labels = components(star.where("linked"))
+    # What is left: pairs of a bucket that lie in different components and are not yet verified. Where both know what
+    # they share with the same pivot p, their intersection is bounded by the lesser share within p and without.
+    known = star.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("common", "a")).alias("best"))
+    nodes = sets.select("node", "n", "s").join(labels, "node", "left").join(known, "node", "left")
+    nodes = materialize(nodes.select("node", F.coalesce("label", "node").alias("label"), F.coalesce("best.a", "node").alias("p"), F.coalesce("best.common", "s").alias("c")), "nodes")
+    labelled = signed.join(nodes, "node")
     mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
     left = labelled.join(mixed, "sig")
-    other = left.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    across = (
-        left.withColumnsRenamed({"node": "a", "n": "n_a"}).join(other, "sig").where("a < b and label <> label_b").where(fits).select("a", "b").distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    second = materialize(_links(across, sets, percent), "links")
-    labels = components(first.union(second))
+    names = ("n", "s", "label", "p", "c")
+    one, other = (left.select("sig", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in ("a", "b"))
+    bound = f"p_a <> p_b or {100 + percent} * (least(c_a, c_b) + least(s_a - c_a, s_b - c_b)) >= {percent} * (n_a + n_b)"
+    across = one.join(other, "sig").where("a < b and label_a <> label_b").where(fits).where(bound).select("a", "b", "n_a", "n_b").distinct()
+    across = across.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    links = materialize(_verified(materialize(across, "pairs"), sets, percent).where("linked").select("a", "b"), "links")
+    labels = components(links.union(nodes.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     least = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     least = least.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     final = least.join(least.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
