@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained on a bounded sample of labelled texts: one on ordinary text, and one that
-extends it by what marks toxic text (word starts far more frequent among toxic texts, with their frequent
-continuations). Each window of a text is compressed with both; its margin is what the toxic dictionary saves. A
+extends it by what marks toxic text (word starts far more frequent among toxic texts, each as long as most of its
+occurrences agree). Each window of a text is compressed with both; its margin is what the toxic dictionary saves. A
 text's score is a logistic function of its margins (largest, mean, mean excess over thresholds), calibrated on
 sampled texts that the dictionaries did not see. Windows overlap, cover the whole text and are never joined, so
 memory is bounded by one text.
@@ -27,7 +27,7 @@ from . import labelled, logistic
 from .common import held_out
 
 WINDOW, STRIDE = 96, 80
-ORDINARY_BYTES = 4096
+ORDINARY_BYTES = 8192
 #: The bound of the sample that a model is fitted on, by label.
 SAMPLE = {1: 2000, 0: 5000}
 THRESHOLD = 0.5
@@ -51,7 +51,7 @@ def _frequency(texts: list[bytes]) -> Counter:
 
 
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int = 5) -> tuple[bytes, bytes]:
-    """Raw dictionary content: ordinary, and the same with the marks of toxic text after it."""
+    """Raw dictionary content: ordinary, and the same with the marks of toxic text before it."""
     rng = random.Random(seed)
     lines = [w for t in ordinary for w in windows(t)[:20]]
     rng.shuffle(lines)
@@ -60,23 +60,21 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int = 5)
     except zstandard.ZstdError:  # too little text to train on
         plain = b"".join(lines)[-ORDINARY_BYTES:]
     in_toxic, in_ordinary = _frequency(toxic), _frequency(ordinary)
-    least = max(3, 0.015 * len(toxic))
-    marks = {
-        s: n for s, n in in_toxic.items()
-        if n >= least and n / len(toxic) > 20 * (in_ordinary[s] + 0.5) / len(ordinary)
-    }
-    stems = sorted((s for s in marks if not any(s[:k] in marks for k in range(5, len(s)))), key=lambda s: marks[s])
-    forms: list[bytes] = []
-    by_stem: dict[bytes, list[bytes]] = {}
+    least = max(3, 0.03 * len(toxic))
+    marks = {}
+    for s, n in in_toxic.items():
+        expected = in_ordinary[s] * len(toxic) / len(ordinary)
+        if n >= least and n > 8 * (expected + 0.5 * len(toxic) / len(ordinary)) and n - expected > 5 * (1 + expected) ** 0.5:
+            marks[s] = n
+    stems = sorted((s for s in marks if not any(s[:k] in marks for k in range(5, len(s)))), key=lambda s: (marks[s], s))
+    longer: dict[bytes, list[bytes]] = {s: [] for s in stems}
     for s in in_toxic:
         for k in range(5, len(s) + 1):
-            if s[:k] in marks:
-                by_stem.setdefault(s[:k], []).append(s)
-    for stem in stems:
-        longer = sorted((s for s in by_stem[stem] if in_toxic[s] >= 0.05 * marks[stem]), key=lambda s: (in_toxic[s] * len(s), s))
-        forms += longer[-12:]
-    forms = [f for f in dict.fromkeys(forms) if not any(f != o and f in o for o in forms)]
-    return plain, plain + b"".join(forms)
+            if s[:k] in longer and in_toxic[s] >= 0.6 * marks[s[:k]]:
+                longer[s[:k]].append(s)
+    forms = dict.fromkeys(max(longer[s], key=lambda x: (len(x), x)) for s in stems)
+    # marks come first, where they do not displace ordinary content from the match finder
+    return plain, b"".join(forms) + plain
 
 
 class Compressors:
