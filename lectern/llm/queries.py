@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, ngram_join, packing, quality, toxicity
+from . import exact_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, quality, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -20,6 +24,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,6 +40,6 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_quality, op5_fingerprints, op7_toxicity, op8_packing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_mixing, op4_quality, op5_fingerprints, op6_line_dedup, op7_toxicity, op8_packing, op9_exact_dedup)}
 
-ORACLE_SQL: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.sql(), "op9_exact_dedup": exact_dedup.ORACLE}
