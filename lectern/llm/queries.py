@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, quality, toxicity
+from . import exact_dedup, fingerprints, license_scan, line_dedup, mixing, ngram_join, packing, quality, token_counts, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_mixing, op4_quality, op5_fingerprints, op6_line_dedup, op7_toxicity, op8_packing, op9_exact_dedup)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.maintained(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_mixing, op4_quality, op5_fingerprints, op6_line_dedup, op7_toxicity, op8_packing, op9_exact_dedup, op10_token_counts)}
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.sql(), "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.sql(), "op3_mixing": mixing.sql(), "op9_exact_dedup": exact_dedup.ORACLE}
