@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import held_out
 
 #: A sampled text is this long at most (bytes); so a sample of n rows takes n * LONGEST bytes on the driver at most.
-LONGEST = 16_000
+LONGEST = 8_000
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: Column, per_class: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str]]:
@@ -17,11 +17,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: Column, per_class: dict[in
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), label.cast("int").alias("_label")).where("_label is not null and _id is not null")
     known = known.where(~held_out(F.col("_id"))).dropDuplicates(["_id"])
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where((F.octet_length("_text") <= LONGEST) & (F.octet_length("_text") > 0))
-    # Choose by hash of the id first, so that only the chosen rows' texts leave the executors.
+    # The ids are chosen first, by hash; their number is bounded, and only their texts leave the executors.
+    both = texts.select("_id").distinct().join(known, "_id")
     order = F.xxhash64("_id", F.lit(17))
-    out: list[tuple[int, str]] = []
-    both = texts.join(known, "_id")
-    for value, most in per_class.items():
-        rows = both.where(F.col("_label") == value).select("_text", order.alias("_o"), "_id").orderBy("_o", "_id", "_text").limit(most).collect()
-        out += [(value, t) for t in dict.fromkeys(r["_text"] for r in rows)]
-    return out
+    chosen = [r for value, most in per_class.items() for r in both.where(F.col("_label") == value).select("_id", "_label", order.alias("_o")).orderBy("_o", "_id").limit(most).collect()]
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame([(r["_id"], r["_label"], r["_o"]) for r in chosen], "_id long, _label int, _o long")
+    rows = texts.join(F.broadcast(wanted), "_id").select("_label", "_o", "_id", "_text").collect()
+    rows.sort(key=lambda r: (-r["_label"], r["_o"], r["_id"], r["_text"]))
+    return list(dict.fromkeys((r["_label"], r["_text"]) for r in rows))

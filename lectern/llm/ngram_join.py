@@ -353,9 +353,9 @@ def _set_batch(rows):
 
 
 def _counted(batches):
-    """(a, b, n_a, n_b, common) of (a, b, n_a, n_b, tokens_a, tokens_b): how many tokens the two share."""
+    """(a, b, n_a, n_b, own, common) of (a, b, n_a, n_b, own, tokens_a, tokens_b): how many tokens the two share."""
     for batch in batches:
-        a, ta, tb = batch.column(0).to_numpy(), batch.column(4), batch.column(5)
+        a, ta, tb = batch.column(0).to_numpy(), batch.column(5), batch.column(6)
         common = np.zeros(len(a), dtype=np.int64)
         last, x = None, None
         for i in range(len(a)):
@@ -363,18 +363,44 @@ def _counted(batches):
                 last, x = a[i], np.frombuffer(ta[i].as_buffer(), dtype=np.uint64)
             both = np.sort(np.concatenate((x, np.frombuffer(tb[i].as_buffer(), dtype=np.uint64))))
             common[i] = np.count_nonzero(both[1:] == both[:-1])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(common, pa.int64())], names=["a", "b", "n_a", "n_b", "common"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(common, pa.int64())], names=["a", "b", "n_a", "n_b", "own", "common"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b, n_a, n_b) with common and linked. Sets travel to a's side once for each b."""
+    """Candidate pairs (a, b, n_a, n_b, own) with common and linked. Sets travel to a's side once for each b."""
     body = sets.select("node", "tokens")
-    withb = pairs.select("a", "b", "n_a", "n_b").join(body.select(F.col("node").alias("b"), F.col("tokens").alias("t_b")), "b")
+    withb = pairs.join(body.select(F.col("node").alias("b"), F.col("tokens").alias("t_b")), "b")
     both = withb.join(body.select(F.col("node").alias("a"), F.col("tokens").alias("t_a")), "a")
-    counted = both.select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(_counted, "a long, b long, n_a long, n_b long, common long")
+    counted = both.select("a", "b", "n_a", "n_b", "own", "t_a", "t_b").mapInArrow(_counted, "a long, b long, n_a long, n_b long, own long, common long")
     return counted.withColumn("linked", F.expr(f"100 * common >= {percent} * (n_a + n_b - common)"))
 
 
+def _outside(batches):
+    """(node, token) of (node, tokens, tokens_p): the node's shared tokens that p has not."""
+    for batch in batches:
+        nodes, mine, theirs = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+        kept = [np.setdiff1d(np.frombuffer(mine[i].as_buffer(), np.uint64), np.frombuffer(theirs[i].as_buffer(), np.uint64), assume_unique=True) for i in range(len(nodes))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, dtype=np.int64), [len(k) for k in kept])), pa.array(np.concatenate(kept).view(np.int64))], names=["node", "token"])
+
+
+def _beside(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Nodes with the tokens that they share with others but not with their pivot, where a pivot's nodes lie in more
+    than one component."""
+    around = nodes.where("p <> node")
+    mixed = around.groupBy("p").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("p")
+    body = sets.select("node", "tokens")
+    pairs = around.where("s > c").join(mixed, "p").select("node", "p").join(body, "node").join(body.select(F.col("node").alias("p"), F.col("tokens").alias("t_p")), "p")
+    tokens = pairs.select("node", "tokens", "t_p").mapInArrow(_outside, "node long, token long")
+    return tokens.join(nodes, "node")
+
+
+def _sides(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs a < b of rows that agree in the keys and lie in different components."""
+    names = [c for c in ("n", "s", "label", "p", "c") if c not in keys]
+    one, other = (rows.select(*keys, F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in ("a", "b"))
+    return one.join(other, keys).where("a < b and label_a <> label_b")
+
+
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """(node, label) of every node of the edges (a, b): label is the least node that it is connected with.
 
@@ -427,21 +453,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     side = lambda of, name: [F.col(f"{of}{c}").alias(f"{c}_{name}") for c in ("n", "s")]
     # Pivots are the nodes with the fewest tokens of their own: the most central of a family of edited copies.
     pivots = signed.groupBy("sig").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "node", "n", "s")).alias("p"), F.count("*").alias("k")).where("k > 1")
-    star = signed.join(pivots, "sig").where("node <> p.node").select(F.col("p.node").alias("a"), F.col("node").alias("b"), *side("p.", "a"), *side("", "b"))
-    star = materialize(_verified(star.where(fits).select("a", "b", "n_a", "n_b").distinct(), sets, percent), "star")
+    star = signed.join(pivots, "sig").where("node <> p.node").select(F.col("p.node").alias("a"), F.col("p.own").alias("own"), F.col("node").alias("b"), *side("p.", "a"), *side("", "b"))
+    star = materialize(_verified(star.where(fits).select("a", "b", "n_a", "n_b", "own").distinct(), sets, percent), "star")
     labels = components(star.where("linked"))
-    # What is left: pairs of a bucket that lie in different components and are not yet verified. Where both know what
-    # they share with the same pivot p, their intersection is bounded by the lesser share within p and without.
-    known = star.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("common", "a")).alias("best"))
+    # What is left: pairs of a bucket that lie in different components and are not yet verified. Two nodes that met
+    # the same pivot p share at most the lesser of their shares with p, and what they share beside p. So pairs whose
+    # shares with p could not do alone must have a token beside p in common: they come from an index of those tokens.
+    known = star.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("own", "a", "common")).alias("best"))
     nodes = sets.select("node", "n", "s").join(labels, "node", "left").join(known, "node", "left")
-    nodes = materialize(nodes.select("node", F.coalesce("label", "node").alias("label"), F.coalesce("best.a", "node").alias("p"), F.coalesce("best.common", "s").alias("c")), "nodes")
-    labelled = signed.join(nodes, "node")
+    nodes = materialize(nodes.select("node", "n", "s", F.coalesce("label", "node").alias("label"), F.coalesce("best.a", "node").alias("p"), F.coalesce("best.common", "s").alias("c")), "nodes")
+    labelled = signed.select("sig", "node").join(nodes, "node")
     mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    left = labelled.join(mixed, "sig")
-    names = ("n", "s", "label", "p", "c")
-    one, other = (left.select("sig", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in ("a", "b"))
-    bound = f"p_a <> p_b or {100 + percent} * (least(c_a, c_b) + least(s_a - c_a, s_b - c_b)) >= {percent} * (n_a + n_b)"
-    across = one.join(other, "sig").where("a < b and label_a <> label_b").where(fits).where(bound).select("a", "b", "n_a", "n_b").distinct()
+    alone = f"(p_a <> p_b or {100 + percent} * least(c_a, c_b) >= {percent} * (n_a + n_b))"
+    by_sig = _sides(labelled.join(mixed, "sig"), ["sig"]).where(fits).where(alone).select("a", "b", "n_a", "n_b").distinct()
+    beside = _sides(_beside(nodes, sets), ["p", "token"]).where(fits).where(f"not {alone.replace('p_a <> p_b or ', '')}")
+    beside = beside.where(f"{100 + percent} * (least(c_a, c_b) + least(s_a - c_a, s_b - c_b)) >= {percent} * (n_a + n_b)")
+    beside = beside.groupBy("a", "b", "n_a", "n_b", F.least("c_a", "c_b").alias("c")).agg(F.count("*").alias("k"))
+    beside = beside.where(f"{100 + percent} * (c + k) >= {percent} * (n_a + n_b)").select("a", "b", "n_a", "n_b")
+    across = by_sig.union(beside).distinct().withColumn("own", F.lit(0).cast("long"))
     across = across.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = materialize(_verified(materialize(across, "pairs"), sets, percent).where("linked").select("a", "b"), "links")
     labels = components(links.union(nodes.select(F.col("node").alias("a"), F.col("label").alias("b"))))
