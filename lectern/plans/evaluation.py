@@ -92,4 +92,4 @@ FROM benchmark WHERE length(text) < 150 OR text LIKE '%,%' OR item_id % 7 = 0"""
 
 both("e_plan_score", """
 SELECT e.user_id, CAST(sum(CASE WHEN e.event_type = 'view' AND e.value > 100 THEN 1 ELSE 0 END) AS BIGINT) AS routed, count(*) AS plans,
- round(avg(CASE WHEN e.event_type IN ('view', 'click') THEN 1.0 ELSE 0.0 END), 6) AS share FROM events e GROUP BY e.user_id""")
+ round(sum(CASE WHEN e.event_type IN ('view', 'click') THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS share FROM events e GROUP BY e.user_id""")

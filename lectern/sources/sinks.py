@@ -76,9 +76,10 @@ def upserted(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFram
     the condition 'this or that' needs no nested loop."""
     if old is None:
         return new
+    columns = old.columns
     for k in keys:
         old = old.join(new.select(k).where(F.col(k).isNotNull()).distinct(), k, "left_anti")
-    return old.unionByName(new, allowMissingColumns=True)
+    return old.select(*columns).unionByName(new, allowMissingColumns=True)
 
 
 def backfilled(rows: DataFrame, ids: DataFrame) -> DataFrame:
