@@ -445,16 +445,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(
         shared.repartitionById(buckets, F.col("bucket")).mapInArrow(_signed_sets(percent, frequent), "node long, n long, s long, tokens binary, sigs array<long>"), "sets"
     )
-    signed = sets.select(F.explode("sigs").alias("sig"), "node", "n", "s")
-    pivots = signed.groupBy("sig").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "node", "n", "s")).alias("p"), F.count("*").alias("k")).where("k > 1").select("sig", "p")
     # A link's intersection is percent / (100 + percent) of the summed sizes at least, and no larger than what
     # either set shares with any other.
     fits = f"{100 + percent} * least(s_a, s_b) >= {percent} * (n_a + n_b)"
-    side = lambda of, name: [F.col(f"{of}{c}").alias(f"{c}_{name}") for c in ("n", "s")]
     # Pivots are the nodes with the fewest tokens of their own: the most central of a family of edited copies.
-    pivots = signed.groupBy("sig").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "node", "n", "s")).alias("p"), F.count("*").alias("k")).where("k > 1")
-    star = signed.join(pivots, "sig").where("node <> p.node").select(F.col("p.node").alias("a"), F.col("p.own").alias("own"), F.col("node").alias("b"), *side("p.", "a"), *side("", "b"))
-    star = materialize(_verified(star.where(fits).select("a", "b", "n_a", "n_b", "own").distinct(), sets, percent), "star")
+    signed = sets.select(F.explode("sigs").alias("sig"), "node", (F.col("n") - F.col("s")).alias("own"))
+    pivots = signed.groupBy("sig").agg(F.min(F.struct("own", "node")).alias("p"), F.count("*").alias("k")).where("k > 1")
+    star = signed.select("sig", "node").join(pivots, "sig").where("node <> p.node").select(F.col("p.node").alias("a"), F.col("p.own").alias("own"), F.col("node").alias("b")).distinct()
+    sizes = sets.select("node", "n", "s")
+    for x in ("a", "b"):
+        star = star.join(sizes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}")), x)
+    star = materialize(_verified(star.where(fits).select("a", "b", "n_a", "n_b", "own"), sets, percent), "star")
     labels = components(star.where("linked"))
     # What is left: pairs of a bucket that lie in different components and are not yet verified. Two nodes that met
     # the same pivot p share at most the lesser of their shares with p, and what they share beside p. So pairs whose
@@ -462,10 +463,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = star.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("own", "a", "common")).alias("best"))
     nodes = sets.select("node", "n", "s").join(labels, "node", "left").join(known, "node", "left")
     nodes = materialize(nodes.select("node", "n", "s", F.coalesce("label", "node").alias("label"), F.coalesce("best.a", "node").alias("p"), F.coalesce("best.common", "s").alias("c")), "nodes")
-    labelled = signed.select("sig", "node").join(nodes, "node")
+    # labels are joined to whole signature lists, and only nodes of mixed buckets get the rest
+    labelled = sets.select("node", "sigs").join(nodes.select("node", "label"), "node").select(F.explode("sigs").alias("sig"), "node", "label")
     mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+    buckets_left = sets.select(F.explode("sigs").alias("sig"), "node").join(mixed, "sig").join(nodes, "node")
     alone = f"(p_a <> p_b or {100 + percent} * least(c_a, c_b) >= {percent} * (n_a + n_b))"
-    by_sig = _sides(labelled.join(mixed, "sig"), ["sig"]).where(fits).where(alone).select("a", "b", "n_a", "n_b").distinct()
+    by_sig = _sides(buckets_left, ["sig"]).where(fits).where(alone).select("a", "b", "n_a", "n_b").distinct()
     beside = _sides(_beside(nodes, sets), ["p", "token"]).where(fits).where(f"not {alone.replace('p_a <> p_b or ', '')}")
     beside = beside.where(f"{100 + percent} * (least(c_a, c_b) + least(s_a - c_a, s_b - c_b)) >= {percent} * (n_a + n_b)")
     beside = beside.groupBy("a", "b", "n_a", "n_b", F.least("c_a", "c_b").alias("c")).agg(F.count("*").alias("k"))
