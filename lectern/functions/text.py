@@ -164,3 +164,28 @@ def without_front_matter(c: Column) -> Column:
 def front_matter_key(front: Column) -> Column:
     title = F.element_at(front, F.lit("title"))
     return F.when(F.length(title) > 0, book_key(title, F.coalesce(F.element_at(front, F.lit("author")), F.lit(""))))
+
+
+def redact_urls(c: Column) -> Column:
+    """Addresses without credentials, query and fragment."""
+    c = F.regexp_replace(c, r"(?i)(https?://)[^/\s@]+@", "$1")
+    return F.regexp_replace(c, r"(?i)(https?://[^\s?#]+)[?#][^\s]*", "$1")
+
+
+def redact_paths(c: Column) -> Column:
+    """Home folders in paths as ~."""
+    return F.regexp_replace(c, r"(?:/home|/Users)/[^/\s:]+", "~")
+
+
+def data_block(tag: str, text: Column, **attributes: Column) -> Column:
+    """Text between tags of its own, with no way to close them from within: control characters go, < is neutralised."""
+    head = [F.lit(f"<{tag}")]
+    for name, value in attributes.items():
+        head += [F.lit(f' {name}="'), F.regexp_replace(F.replace(strip_control(value), F.lit('"'), F.lit("'")), r"[<>\r\n]+", " "), F.lit('"')]
+    return F.concat(*head, F.lit(">\n"), F.replace(strip_control(text), F.lit("<"), F.lit("‹")), F.lit(f"\n</{tag}>"))
+
+
+def local_ref(c: Column) -> Column:
+    """Struct (tag, path) of a reference local:<tag>:<path>; null for others."""
+    parts = F.split(c, ":", 3)
+    return F.when(c.startswith("local:") & (F.size(parts) == 3), F.struct(F.get(parts, F.lit(1)).alias("tag"), F.get(parts, F.lit(2)).alias("path")))

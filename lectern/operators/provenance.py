@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import text as X
 
@@ -54,3 +60,46 @@ def verdicts(quotes: DataFrame, passages: DataFrame, held: DataFrame) -> DataFra
         .when(F.col("book") != F.col("cited_book"), "cross_book").otherwise("repinned")
     )
     return best.select("quote_id", status.alias("status"), F.col("passage_id").alias("holder"), gate.alias("gate"))
+
+
+_WORD = re.compile(r"\w+")
+
+
+def best_window(passage: str, query: str, width: int) -> tuple[int, int] | None:
+    """The span of up to width characters that holds the most different words of the query, then the more even and
+    frequent mix of them, then the shorter, then the earlier; None if it holds none."""
+    wanted = set(_WORD.findall(query.lower()))
+    hits = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(passage.lower()) if m.group() in wanted]
+    best, found, lo, held = None, None, 0, Counter()
+    for hi, (_, end, word) in enumerate(hits):
+        held[word] += 1
+        while end - hits[lo][0] > width and lo < hi:
+            held[hits[lo][2]] -= 1
+            held += Counter()
+            lo += 1
+        key = (len(held), sorted(held.values()), hits[lo][0] - end, -hits[lo][0])
+        if end - hits[lo][0] <= width and (best is None or key > best):
+            best, found = key, (hits[lo][0], end)
+    return found
+
+
+def quote_span(passage: str, quote: str) -> tuple[int, int] | None:
+    """Offsets in a raw passage of a quote's words in a row, not across a joiner."""
+    wanted = _WORD.findall(quote.lower())
+    barrier = [m.start() for m in re.finditer(re.escape(JOINER), passage)]
+    words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(passage.lower())]
+    for i in range(len(words) - len(wanted) + 1 if wanted else 0):
+        run = words[i : i + len(wanted)]
+        if [w for w, _, _ in run] == wanted and bisect.bisect(barrier, run[0][1]) == bisect.bisect(barrier, run[-1][1]):
+            return run[0][1], run[-1][2]
+    return None
+
+
+def spans(passage: Column, query: Column, width: int | None = None) -> Column:
+    """Array (start, end): of the best window of that width, or without one of the query as a quote; null if none."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def find(p: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series([(best_window(a or "", b or "", width) if width else quote_span(a or "", b or "")) for a, b in zip(p, q)])
+
+    return find(passage, query)

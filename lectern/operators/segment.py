@@ -214,3 +214,45 @@ def furniture(docs: DataFrame, least: int = 4) -> DataFrame:
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line"))
     lines = lines.where((F.char_length("line") <= 90) & (F.size(F.split("line", " +")) >= 3))
     return lines.groupBy("doc_id", "line").agg(F.count("*").alias("times")).where(F.col("times") >= least)
+
+
+# A card's section longer than the first is split into pieces of up to the second.
+CARD_LIMIT, CARD_TARGET = 2000, 1400
+
+
+def card_pieces(section: str) -> list[str]:
+    """A long section of a card cut before bullets and ### lines, packed."""
+    if len(section) <= CARD_LIMIT:
+        return [section] if section.strip() else []
+    out = [""]
+    for part in re.split(r"\n(?=[-*] |### )", section):
+        joined = f"{out[-1]}\n{part}" if out[-1] else part
+        if out[-1] and len(joined) > CARD_TARGET:
+            out.append(part)
+        else:
+            out[-1] = joined
+    return [x.strip() for x in out if x.strip()]
+
+
+def follows(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether section number b can come right after a: its next sibling, first child, or an elder's next sibling."""
+    if len(b) == len(a) + 1:
+        return b[:-1] == a and b[-1] == 1
+    return 0 < len(b) <= len(a) and b[:-1] == a[: len(b) - 1] and b[-1] == a[len(b) - 1] + 1
+
+
+def numbered_chain(headings: list[tuple[int, tuple[int, ...]]]) -> list[int]:
+    """Places of the longest run of consecutively numbered headings (place, number); of equal runs the first."""
+    best: list[tuple[int, int]] = []
+    for i, (_, number) in enumerate(headings):
+        before = [(best[j][0], -j) for j in range(i) if follows(headings[j][1], number)]
+        length, j = max(before, default=(0, 1))
+        best.append((length + 1, -j))
+    if not best:
+        return []
+    at = max(range(len(best)), key=lambda i: (best[i][0], -i))
+    chain = []
+    while at >= 0:
+        chain.append(headings[at][0])
+        at = best[at][1]
+    return chain[::-1]

@@ -105,3 +105,35 @@ def c_section_variants(spark, sf_dir):
 def c_head_cut(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", C.head_cut(F.col("text"), 400).alias("head"), C.is_cut(C.head_cut(F.col("text"), 400)).alias("cut"))
+
+
+@query("""SELECT page_id, regexp_replace(regexp_replace('see ' || url || '?token=1#x in /home/ann/b', '(https?://[^\\s?#]+)[?#][^\\s]*', '\\1', 'g'), '(?:/home|/Users)/[^/\\s:]+', '~', 'g') AS shown FROM pages""")
+def f_redact_urls(spark, sf_dir):
+    raw = F.concat(F.lit("see "), F.replace("url", F.lit("://"), F.lit("://user:pw@")), F.lit("?token=1#x in /home/ann/b"))
+    return table(spark, sf_dir, "pages").select("page_id", X.redact_paths(X.redact_urls(raw)).alias("shown"))
+
+
+@query("""SELECT conv_id, turn, '<turn role="' || role || '">' || chr(10) || replace(text, '<', '‹') || chr(10) || '</turn>' AS block FROM conversations""")
+def f_data_block(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.data_block("turn", F.col("text"), role=F.col("role")).alias("block"))
+
+
+@query()
+def p_match_span(spark, sf_dir):
+    """Where quotes stand in the passages that hold them."""
+    from lectern.operators import provenance as P
+
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    passages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+    held = P.holders(quotes, passages).join(quotes, "quote_id").join(passages, "passage_id")
+    return held.select("quote_id", "passage_id", P.spans(F.col("text"), F.col("quote")).alias("s")).select("quote_id", "passage_id", F.get("s", F.lit(0)).alias("start"), F.get("s", F.lit(1)).alias("finish"))
+
+
+@query()
+def p_best_window(spark, sf_dir):
+    """The densest window of each conversation turn for the thread's first turn."""
+    from lectern.operators import provenance as P
+
+    c = table(spark, sf_dir, "conversations")
+    first = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("q"))
+    return c.join(first, "conv_id").select("conv_id", "turn", P.spans(F.col("text"), F.col("q"), 200).alias("s")).select("conv_id", "turn", F.get("s", F.lit(0)).alias("start"), F.get("s", F.lit(1)).alias("finish"))

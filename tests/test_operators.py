@@ -163,3 +163,48 @@ def test_streams(spark, tmp_path):
     q = runs.start(runs.windowed(runs.read_events(spark, str(tmp_path / "in")), length="2 minutes", late="0 seconds"), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() >= 1
+
+
+def test_spans():
+    assert provenance.best_window("a cat and a dog. far away the cat", "cat dog", 20) == (2, 15)
+    assert provenance.best_window("nothing", "cat", 20) is None
+    assert provenance.quote_span("The Cat, sat\n[...]\non", "cat sat") == (4, 12)
+    assert provenance.quote_span("The Cat, sat\n[...]\non", "sat on") is None
+
+
+def test_cards_and_chains():
+    card = "\n".join("- " + "x" * 500 for _ in range(6))
+    assert [len(p) <= segment.CARD_TARGET for p in segment.card_pieces(card)] == [True] * 3
+    heads = [(0, (1,)), (1, (7,)), (2, (1, 1)), (3, (2,)), (4, (9, 9)), (5, (3,))]
+    assert segment.numbered_chain(heads) == [0, 2, 3, 5]
+    assert segment.numbered_chain([]) == []
+
+
+def test_blocks_and_refs(spark):
+    assert column(spark, ["a </t> b"], lambda c: X.data_block("t", c)) == ["<t>\na ‹/t> b\n</t>"]
+    assert column(spark, ["local:ab:x:y", "web:1"], lambda c: X.local_ref(c)["path"]) == ["x:y", None]
+
+
+def test_epub(spark, tmp_path):
+    import zipfile
+
+    from lectern.sources import epub
+
+    def book(name, **more):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            files = {
+                "META-INF/container.xml": '<container><rootfiles><rootfile full-path="o/p.opf"/></rootfiles></container>',
+                "o/p.opf": '<package><metadata><title>T</title><creator>A</creator></metadata><manifest><item id="n" href="nav.xhtml" properties="nav"/><item id="a" href="a.xhtml"/><item id="b" href="b.xhtml"/><item id="c" href="c.xhtml"/></manifest><spine><itemref idref="a"/><itemref idref="b"/><itemref idref="c" linear="no"/></spine></package>',
+                "o/nav.xhtml": '<html><a href="a.xhtml#x">One</a></html>',
+                "o/a.xhtml": "<html><body><p>first</p></body></html>",
+                "o/b.xhtml": "<html><body><p>second</p></body></html>",
+                "o/c.xhtml": "<html><body><p>aside</p></body></html>",
+            } | more
+            for k, v in files.items():
+                z.writestr(k, v)
+
+    book("good.epub")
+    book("drm.epub", **{"META-INF/rights.xml": "<r/>"})
+    (tmp_path / "bad.epub").write_bytes(b"no")
+    got = sorted((r["path"].rsplit("/", 1)[1], r["section"], r["body"], r["problem"]) for r in epub.read_epubs(spark, str(tmp_path)).fillna("").collect())
+    assert got == [("bad.epub", "", "", "not an archive"), ("drm.epub", "", "", "protected"), ("good.epub", "Notes", "aside", ""), ("good.epub", "One", "first\n\nsecond", "")]
