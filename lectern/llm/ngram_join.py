@@ -312,7 +312,7 @@ def _pairs(token: np.ndarray, group: np.ndarray, level: int) -> np.ndarray:
 
 
 def _signed_sets(percent: int, frequent: int):
-    """Per node with possible partners: its set size, its shared tokens (sorted) and its signatures."""
+    """Per node with possible partners: its set size, its shared tokens (their gaps, packed) and its signatures."""
 
     def run(batches):
         parts = [[], [], [], []]
@@ -334,7 +334,7 @@ def _signed_sets(percent: int, frequent: int):
             n = int(size[lo])
             found = signatures(token[lo:hi], often[lo:hi], n, percent, frequent)
             if found is not None and len(found):
-                rows.append((int(node[lo]), n, hi - lo, token[lo:hi].tobytes(), (found >> U(1)).astype(np.int64)))
+                rows.append((int(node[lo]), n, hi - lo, pack(np.diff(token[lo:hi], prepend=U(0))), (found >> U(1)).astype(np.int64)))
                 held += len(found) + hi - lo
             if held > 1_000_000:
                 yield _set_batch(rows)
@@ -352,6 +352,10 @@ def _set_batch(rows):
     )
 
 
+def _tokens(blob: pa.Scalar) -> np.ndarray:
+    return np.cumsum(unpack(blob.as_py())[0], dtype=np.uint64)
+
+
 def _counted(batches):
     """(a, b, n_a, n_b, own, common) of (a, b, n_a, n_b, own, tokens_a, tokens_b): how many tokens the two share."""
     for batch in batches:
@@ -360,8 +364,8 @@ def _counted(batches):
         last, x = None, None
         for i in range(len(a)):
             if a[i] != last:
-                last, x = a[i], np.frombuffer(ta[i].as_buffer(), dtype=np.uint64)
-            both = np.sort(np.concatenate((x, np.frombuffer(tb[i].as_buffer(), dtype=np.uint64))))
+                last, x = a[i], _tokens(ta[i])
+            both = np.sort(np.concatenate((x, _tokens(tb[i]))))
             common[i] = np.count_nonzero(both[1:] == both[:-1])
         yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(common, pa.int64())], names=["a", "b", "n_a", "n_b", "own", "common"])
 
@@ -379,7 +383,7 @@ def _outside(batches):
     """(node, token) of (node, tokens, tokens_p): the node's shared tokens that p has not."""
     for batch in batches:
         nodes, mine, theirs = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
-        kept = [np.setdiff1d(np.frombuffer(mine[i].as_buffer(), np.uint64), np.frombuffer(theirs[i].as_buffer(), np.uint64), assume_unique=True) for i in range(len(nodes))]
+        kept = [np.setdiff1d(_tokens(mine[i]), _tokens(theirs[i]), assume_unique=True) for i in range(len(nodes))]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, dtype=np.int64), [len(k) for k in kept])), pa.array(np.concatenate(kept).view(np.int64))], names=["node", "token"])
 
 
@@ -438,7 +442,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not total:
         return members.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     # Token hashes are cut to as many bits as keep chance agreement negligible at this size.
-    bits = min(64, max(48, math.ceil(math.log2(total)) + 12))
+    bits = min(64, max(44, math.ceil(math.log2(total)) + 12))
     buckets = max(2, shuffle_partitions(spark))
     blocks = texts.mapInArrow(_token_blocks(width, 64 - bits, buckets), "bucket int, block binary")
     shared = blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared_tokens(buckets), "bucket int, block binary")
