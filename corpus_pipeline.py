@@ -28,7 +28,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least doc_id (of repeated rows, one)."""
+    """One document of each group of near duplicates: that with the least doc_id (rows that repeat it are one document)."""
     found = ngram_join.near_duplicates(docs)
     others = found.where("doc_id <> component_id").select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
