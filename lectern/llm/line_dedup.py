@@ -5,11 +5,13 @@ token count and leading DEPTH tokens. A leaf with several different lines has a
 at least half of its lines have, or <*>; it holds if at least SIMILAR of the places are not <*>, and its members are
 the lines that agree with it. Other lines are templates of their own.
 
-A template recurs across documents when its surroundings differ: at one of the places up to REACH lines before or after
-it, the lines there (known by their leading words) are SUPPORT different ones or more, and most of all that stand there
-are different. Copies and near copies of a document repeat lines in the same surroundings, so they lend no support;
-equal surroundings count once. Lines of recurring templates are dropped from all documents; a document of which
-nothing would be left stays as it is.
+A template recurs across documents by the number of unlike documents that hold it. A line is shared by as many
+documents as the most shared of its pieces, PIECE words from its start, its middle and its end, so that an edit does
+not make it new. A document with at least OWN of its lines shared by at most half as many documents as the template is
+no copy of the others that hold it: it is known by the most shared of those lines, so its own copies count once. All other documents that hold the template are copies and near
+copies of each other, or nothing but shared lines; they count as one. More copies never withdraw support, and lines of
+a long shared block count like single ones. Lines of recurring templates are dropped from all documents; a document of
+which nothing would be left stays as it is.
 
 Null and empty texts stay as they are. Blank lines are never dropped. Repeated rows are treated alike. All counts are
 over all documents; groups are reduced by partial aggregation, and only hashes are joined until the last join.
@@ -26,34 +28,33 @@ DEPTH = 3
 SIMILAR = 0.7
 #: Leaves of lines with up to so many tokens are generalised.
 MOST_TOKENS = 60
-#: Support from which a template recurs, by token count: from so many tokens on, so many different neighbours.
+#: Support from which a template recurs, by token count: from so many tokens on, so many unlike documents.
 SUPPORT = ((3, 3), (1, 20))
-#: Different neighbours are this share of all at their place at least.
-SPREAD = 0.6
-REACH = 3
-OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
-_NEAR = [f"near{i}" for i in range(len(OFFSETS))]
+#: A line is known by pieces of so many words.
+PIECE = 4
+#: The share of lines of its own that tells a document from copies.
+OWN = 0.3
 
 
 def masked(line: Column) -> Column:
     return F.trim(F.when(line.rlike(r"\d"), F.regexp_replace(line, r"\S*\d\S*", "<*>")).otherwise(line))
 
 
-def _lead(line: Column) -> Column:
-    return F.when(line.isNotNull(), F.xxhash64(F.substring_index(F.ltrim(line), " ", DEPTH)))
-
-
 def _uid(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def _pieces(words: Column) -> Column:
+    last = F.greatest(F.size(words) - PIECE, F.lit(0))
+    return F.array_distinct(F.array(*[F.xxhash64(F.slice(words, at + 1, F.lit(PIECE))) for at in (F.lit(0), F.floor(last / 2).cast("int"), last)]))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per line that is not blank: uid, pos, tokens and its neighbours' leading words (hashed)."""
+    """One row per line that is not blank: uid, pos, tokens and its pieces (hashed)."""
     split = docs.select(_uid(id_col, text_col).alias("uid"), F.split(text_col, "\n").alias("lines"))
-    led = split.withColumn("leads", F.transform("lines", _lead))
-    each = led.select("uid", "leads", F.posexplode("lines").alias("pos", "text")).where(F.length(F.trim("text")) > 0)
-    near = [F.get("leads", F.col("pos") + o).alias(c) for o, c in zip(OFFSETS, _NEAR)]
-    each = each.select("uid", "pos", F.split(F.trim("text"), r"\s+").alias("plain"), F.split(masked(F.col("text")), r"\s+").alias("tokens"), *near)
+    each = split.select("uid", F.posexplode("lines").alias("pos", "text")).where(F.length(F.trim("text")) > 0)
+    plain = F.split(F.trim("text"), r"\s+")
+    each = each.select("uid", "pos", plain.alias("plain"), F.split(masked(F.col("text")), r"\s+").alias("tokens"), _pieces(plain).alias("pieces"))
     variable = F.size(F.filter("tokens", lambda t: t == "<*>"))
     return each.withColumn("tokens", F.when(variable <= (1 - SIMILAR) * F.size("tokens"), F.col("tokens")).otherwise(F.col("plain"))).drop("plain")
 
@@ -77,26 +78,40 @@ def _members(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str) -> D
     return distinct.join(fixed, "leaf").where(agrees).select("line", F.col("leaf").alias("template"))
 
 
+def _profiles(keyed: DataFrame) -> DataFrame:
+    """Per document: its number of lines, and by level of sharing how many they are and a piece of one of them.
+
+    A line's level is twice the logarithm of the number of documents that share it, rounded up."""
+    pieces = keyed.select("uid", "pos", F.explode("pieces").alias("piece"))
+    shared = pieces.select("uid", "piece").distinct().groupBy("piece").agg(F.count("*").alias("df"))
+    lines = pieces.join(shared, "piece").groupBy("uid", "pos").agg(F.max(F.struct("df", "piece")).alias("most"))
+    levels = lines.groupBy("uid", F.ceil(2 * F.log2("most.df")).cast("int").alias("level")).agg(F.count("*").alias("c"), F.max("most").alias("most"))
+    by_level = F.collect_list(F.struct("level", "c", F.col("most.piece").alias("piece")))
+    return levels.groupBy("uid").agg(F.sum("c").alias("lines"), by_level.alias("levels"))
+
+
 def recurring(keyed: DataFrame) -> DataFrame:
-    """Templates that recur across documents, of lines (uid, template, n, their neighbours)."""
-    # in three documents at least
-    repeated = keyed.select("template", "uid", "n").distinct().groupBy("template").agg(F.count("*").alias("c"), F.max("n").alias("n")).where("c > 2").select("template", "n")
-    ways = keyed.select("template", *_NEAR).distinct().join(repeated, "template")
-    # different neighbours by place: first by neighbour, then by template, so that no group is gathered
-    placed = ways.select("template", "n", F.posexplode(F.array(*_NEAR)).alias("place", "lead")).where("lead is not null")
-    counts = placed.groupBy("template", "place", "lead").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    tally = counts.groupBy("template", "place").agg(F.count("*").alias("different"), F.sum("c").alias("all"), F.max("n").alias("n"))
+    """Templates that recur across documents, of lines (uid, pos, template, n, pieces)."""
+    held = keyed.groupBy("template", "uid").agg(F.max("n").alias("n"))
+    repeated = held.groupBy("template").agg(F.count("*").alias("c"), F.max("n").alias("n")).where("c > 1")
+    holders = held.select("template", "uid").join(repeated, "template").join(_profiles(keyed), "uid")
+    own = holders.withColumn("own", F.filter("levels", lambda x: x["level"] <= 2 * F.log2("c") - 2))
+    count = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["c"])
+    most = F.array_max(F.transform("own", lambda x: F.struct(x["level"].alias("level"), x["piece"].alias("piece"))))["piece"]
+    # copies count as one: they have no key of their own
+    unlike = own.select("template", "n", F.when(count >= OWN * F.col("lines"), most).otherwise(F.lit(0)).alias("key")).groupBy("template", "key").agg(F.max("n").alias("n"))
+    tally = unlike.groupBy("template").agg(F.count("*").alias("different"), F.max("n").alias("n"))
     needed = F.lit(None).cast("int")
     for tokens, least in reversed(SUPPORT):
         needed = F.when(F.col("n") >= tokens, F.lit(least)).otherwise(needed)
-    return tally.where((F.col("different") >= needed) & (F.col("different") >= SPREAD * F.col("all"))).select("template").distinct()
+    return tally.where(F.col("different") >= needed).select("template")
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with their text less its recurring lines, n_lines and n_dropped; other columns stay."""
     keyed = materialize(_keys(_lines(docs, id_col, text_col)).drop("tokens"), "lines")
     members = _members(docs, keyed, id_col, text_col)
-    keyed = keyed.join(members, "line", "left").select("uid", "pos", "n", *_NEAR, F.coalesce("template", "line").alias("template"))
+    keyed = keyed.join(members, "line", "left").select("uid", "pos", "n", "pieces", F.coalesce("template", "line").alias("template"))
     gone = recurring(keyed)
     drops = keyed.join(gone, "template").groupBy("uid").agg(F.collect_set("pos").alias("_drop"))
     kept = docs.withColumn("_uid", _uid(id_col, text_col)).join(drops.withColumnRenamed("uid", "_uid"), "_uid", "left").drop("_uid")

@@ -215,6 +215,26 @@ def test_line_dedup(spark, awkward, nothing):
     assert line_dedup.drop_recurring_lines(nothing).count() == 0
 
 
+def deduplicated(spark, rows):
+    return {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def prose(rng, n):
+    return [" ".join(words(rng, 9)) for _ in range(n)]
+
+
+def test_line_dedup_copies_do_not_withdraw_support(spark):
+    rng, line = random.Random(7), "Subscribe now to our letter"
+    base, rows = prose(rng, 12), []
+    for i in range(330):
+        lines = list(base) if i >= 30 else prose(rng, 12)
+        for k in range(12 * (i >= 30)):
+            lines[k] = " ".join(w if rng.random() > 0.02 else f"e{rng.randrange(10**6)}" for w in lines[k].split())
+        rows.append((i, "\n".join([*lines[:5], line, *lines[5:]])))
+    got = deduplicated(spark, rows)
+    assert all(got[i] == text.replace(line + "\n", "") for i, text in rows)
+
+
 def test_packing(docs, awkward, nothing):
     from tokenizers import Tokenizer
     import public_tokenizers as P
