@@ -235,6 +235,14 @@ def test_line_dedup_copies_do_not_withdraw_support(spark):
     assert all(got[i] == text.replace(line + "\n", "") for i, text in rows)
 
 
+def test_line_dedup_blocks(spark):
+    rng = random.Random(8)
+    block = prose(rng, 20)
+    rows = [(i, "\n".join([*prose(rng, 10), *block[:10], "", *block[10:], *(prose(rng, 10) if i % 2 else [])])) for i in range(40)]
+    got = deduplicated(spark, rows)
+    assert all(not set(block) & set(got[i].split("\n")) and len(got[i].split("\n")) == 11 + 10 * (i % 2) for i, _ in rows)
+
+
 def test_packing(docs, awkward, nothing):
     from tokenizers import Tokenizer
     import public_tokenizers as P
