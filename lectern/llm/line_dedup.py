@@ -1,9 +1,10 @@
 """Line deduplication with a log-template tree.
 
 Lines are parsed by a tree of fixed depth: a token that holds a digit becomes <*> (unless too few others remain), then a line goes to the leaf of its
-token count and leading DEPTH tokens. A leaf with several different lines has a template: at each place the token that
-at least half of its lines have, or <*>; it holds if at least SIMILAR of the places are not <*>, and its members are
-the lines that agree with it. Other lines are templates of their own.
+token count and leading DEPTH tokens. A leaf is split by similarity: its lines that are equal in one of PARTS parts are
+a group, as is the leaf itself. A group of several different lines has a template: at each place the token that at
+least half of its lines have, or <*>; it holds if at least SIMILAR of the places are not <*>, and its members are the
+lines that agree with it. A line belongs to the template with most lines; other lines are templates of their own.
 
 A template recurs across documents by the number of unlike documents that hold it. A line is shared by as many
 documents as the most shared of its pieces, PIECE words from its start, its middle and its end, so that an edit does
@@ -26,8 +27,8 @@ from .common import materialize
 
 DEPTH = 3
 SIMILAR = 0.7
-#: Leaves of lines with up to so many tokens are generalised.
-MOST_TOKENS = 60
+#: Parts of a line after its leading tokens, by which a leaf is split.
+PARTS = 4
 #: Support from which a template recurs, by token count: from so many tokens on, so many unlike documents.
 SUPPORT = ((3, 3), (1, 20))
 #: A line is known by pieces of so many words.
@@ -64,18 +65,28 @@ def _keys(lines: DataFrame) -> DataFrame:
 
 
 def _members(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(line, template) of the lines that belong to their leaf's template."""
-    several = keyed.where(f"n > {DEPTH} and n <= {MOST_TOKENS}").groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("leaf")
-    texts = _keys(_lines(docs, id_col, text_col)).where(f"n > {DEPTH} and n <= {MOST_TOKENS}").select("leaf", "line", "tokens")
+    """(line, template) of the lines that belong to a template of their leaf: of those, the one with most lines."""
+    several = keyed.where(f"n > {DEPTH}").groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("leaf")
+    texts = _keys(_lines(docs, id_col, text_col)).where(f"n > {DEPTH}").select("leaf", "line", "tokens")
     distinct = materialize(texts.join(several, "leaf", "left_semi").dropDuplicates(["leaf", "line"]), "leaves")
-    places = distinct.select("leaf", "line", F.posexplode("tokens").alias("pos", "token"))
-    sizes = distinct.groupBy("leaf").agg(F.count("*").alias("m"), F.max(F.size("tokens")).alias("n"))
-    common = places.groupBy("leaf", "pos", "token").agg(F.count("*").alias("c")).join(sizes, "leaf").where("2 * c >= m")
-    best = common.groupBy("leaf", "pos").agg(F.max(F.struct("c", "token")).alias("b"), F.first("n").alias("n"))
-    fixed = best.where("b.token <> '<*>'").groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "b.token"))).alias("fixed"), F.first("n").alias("n"))
-    fixed = fixed.where(F.size("fixed") >= SIMILAR * F.col("n")).select("leaf", "fixed")
+    # a group: the leaf, or its lines that are equal in one part
+    rest = F.size("tokens") - DEPTH
+    edge = lambda i: (F.floor(rest * i / PARTS) + DEPTH + 1).cast("int")
+    parts = [F.xxhash64("leaf", F.lit(i), F.slice("tokens", edge(i), edge(i + 1) - edge(i))) for i in range(PARTS)]
+    grouped = distinct.select("line", "tokens", F.explode(F.array("leaf", *parts)).alias("group"))
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("m"), F.max(F.size("tokens")).alias("n")).where("m > 1")
+    grouped = materialize(grouped.join(sizes, "group"), "groups")
+    places = grouped.select("group", "m", "n", F.posexplode("tokens").alias("pos", "token"))
+    common = places.groupBy("group", "pos", "token").agg(F.count("*").alias("c"), F.first("m").alias("m"), F.first("n").alias("n")).where("2 * c >= m")
+    best = common.groupBy("group", "pos").agg(F.max(F.struct("c", "token")).alias("b"), F.first("n").alias("n"))
+    fixed = best.where("b.token <> '<*>'").groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("pos", "b.token"))).alias("fixed"), F.first("n").alias("n"))
+    fixed = fixed.where(F.size("fixed") >= SIMILAR * F.col("n")).select("group", "fixed")
     agrees = F.forall(F.map_entries("fixed"), lambda e: F.get("tokens", e["key"]) == e["value"])
-    return distinct.join(fixed, "leaf").where(agrees).select("line", F.col("leaf").alias("template"))
+    # equal templates of several groups are one
+    same = F.xxhash64("n", F.array_sort(F.map_entries("fixed")))
+    agreeing = grouped.join(fixed, "group").where(agrees).select("line", same.alias("template")).distinct()
+    lines = agreeing.groupBy("template").agg(F.count("*").alias("c"))
+    return agreeing.join(lines, "template").groupBy("line").agg(F.max(F.struct("c", "template")).alias("b")).where("b.c > 1").select("line", "b.template")
 
 
 def _profiles(keyed: DataFrame) -> DataFrame:

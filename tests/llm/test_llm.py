@@ -243,6 +243,19 @@ def test_line_dedup_blocks(spark):
     assert all(not set(block) & set(got[i].split("\n")) and len(got[i].split("\n")) == 11 + 10 * (i % 2) for i, _ in rows)
 
 
+def test_line_dedup_templates(spark):
+    """Long lines with a varying word, and two families in one leaf, the lesser of which has less than half of its lines."""
+    rng = random.Random(9)
+    plain = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    families = [[f"see our site {' '.join(plain(n))} NAME {' '.join(plain(n))}" for _ in range(2)] for n in (5, 40)]
+    rows = []
+    for i in range(40):
+        shared = [f[i % 3 == 0].replace("NAME", plain(1)[0]) for f in families]
+        rows.append((i, "\n".join([*prose(rng, 6), *(shared if i < 36 else [f"see our site {' '.join(plain(11))}"])])))
+    got = deduplicated(spark, rows)
+    assert all(got[i] == "\n".join(x for x in text.split("\n") if i >= 36 or not x.startswith("see our")) for i, text in rows)
+
+
 def test_packing(docs, awkward, nothing):
     from tokenizers import Tokenizer
     import public_tokenizers as P
