@@ -30,7 +30,7 @@ SIMILAR = 0.7
 #: Parts of a line after its leading tokens, by which a leaf is split.
 PARTS = 4
 #: Support from which a template recurs, by token count: from so many tokens on, so many unlike documents.
-SUPPORT = ((3, 3), (1, 20))
+SUPPORT = ((50, 2), (3, 3), (1, 20))
 #: A line is known by pieces of so many words.
 PIECE = 4
 #: The share of lines of its own that tells a document from copies.

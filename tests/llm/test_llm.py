@@ -256,6 +256,17 @@ def test_line_dedup_templates(spark):
     assert all(got[i] == "\n".join(x for x in text.split("\n") if i >= 36 or not x.startswith("see our")) for i, text in rows)
 
 
+def test_line_dedup_two_unlike_documents(spark):
+    """A passage of 60 words in two documents, in a document and its copies, and in two families of copies."""
+    rng = random.Random(10)
+    one, two, three, short = " ".join(words(rng, 60)), " ".join(words(rng, 60)), " ".join(words(rng, 60)), " ".join(words(rng, 20))
+    text = lambda *lines: "\n".join([*prose(rng, 5), *lines, *prose(rng, 3)])
+    copied, a, b = text(two), text(three), text(three)
+    rows = list(enumerate([text(one, short), text(one, short), *[copied] * 6, *[a] * 4, *[b] * 4]))
+    got = deduplicated(spark, rows)
+    assert all(got[i] == "\n".join(x for x in t.split("\n") if x not in (one, three)) for i, t in rows)
+
+
 def test_packing(docs, awkward, nothing):
     from tokenizers import Tokenizer
     import public_tokenizers as P
