@@ -1,5 +1,6 @@
 """Rules that the test tables do not exercise."""
 
+import random
 import datetime as dt
 
 import pytest
@@ -208,3 +209,20 @@ def test_epub(spark, tmp_path):
     (tmp_path / "bad.epub").write_bytes(b"no")
     got = sorted((r["path"].rsplit("/", 1)[1], r["section"], r["body"], r["problem"]) for r in epub.read_epubs(spark, str(tmp_path)).fillna("").collect())
     assert got == [("bad.epub", "", "", "not an archive"), ("drm.epub", "", "", "protected"), ("good.epub", "Notes", "aside", ""), ("good.epub", "One", "first\n\nsecond", "")]
+
+
+def test_resolve_names_of_a_large_catalogue(spark, monkeypatch):
+    """Blocks of names give what one list gives."""
+    from lectern.operators import resolve
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(3, 7)))
+    titles = sorted({" ".join(word() for _ in range(rng.randrange(1, 4))) for _ in range(150)})
+    asked = [t[:-1] + "x" for t in titles[::5]] + [f"{t} again" for t in titles[::9]] + [" ".join(word() for _ in range(3)) for _ in range(30)] + titles[:3] + ["zzzzzzzz", None]
+    ask, held = spark.createDataFrame([(a,) for a in asked], "asked string"), spark.createDataFrame([(t,) for t in [*titles, None]], "name string")
+    rows = lambda: sorted(map(tuple, resolve.resolve_names(ask, held).collect()), key=str)
+    want = rows()
+    assert {r[1] for r in want} >= {"exact", "close", "suggestion", "none"}
+    monkeypatch.setattr(resolve, "MOST_NAMES", 20)
+    monkeypatch.setattr(resolve, "ASKED", 7)
+    assert rows() == want
