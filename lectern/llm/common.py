@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set (tests)."""
+    """The cluster's shared folder (spark.checkpoint.dir). One of our own is made only where none is set and all of
+    Spark runs in this one process, as in tests; on a cluster a missing setting is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     java_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if java_dir.isDefined():
         return java_dir.get()
-    made = tempfile.mkdtemp(prefix="lectern-")
-    spark.sparkContext.setCheckpointDir(made)
+    if not spark.sparkContext._jsc.sc().isLocal():
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
@@ -34,16 +37,39 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back."""
+    """Cut lineage: write to the shared folder and read back. remove() takes the table away once nothing reads it."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with arrow_bytes(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def remove(df: DataFrame) -> None:
+    """Delete a table that materialize() wrote."""
+    hadoop_fs, path = hadoop(df.sparkSession, df.written_to)
+    hadoop_fs.delete(path, True)
+
+
+def hadoop(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+@contextmanager
+def arrow_bytes(spark: SparkSession, most: int = 4 << 20):
+    """Arrow batches of that many bytes (or one row) at most for what runs inside, so that a worker's memory does not
+    follow the texts' lengths."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -30,109 +30,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
+from .components import components
+from .words import A, P, U, mix, shingle_hashes, slices, whole_hash, words_of
 
-U = np.uint64
-#: Fixed odd multipliers of the word and shingle hashes.
-_P = 0x9E3779B97F4A7C15
-_A = 0xD6E8FEB86659FD93
-#: Text bytes hashed at a time; bounds a worker's memory whatever the batch.
-SLICE_BYTES = 2_000_000
 #: Tokens a map task gathers before it writes one block per bucket.
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 1_000_000
+#: Tokens of a bucket on average; the number of buckets follows the corpus.
+BUCKET_TOKENS = 1_500_000
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> U(30))
-    h = h * U(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> U(27))
-    h = h * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    p = np.full(n, base, dtype=np.uint64)
-    if n:
-        p[0] = 1
-    return np.multiply.accumulate(p)
-
-
-_POW = _INV = np.zeros(0, dtype=np.uint64)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n:
-        _POW, _INV = _powers(n, _P), _powers(n, pow(_P, -1, 2**64))
-    return _POW, _INV
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs of bytes other than ASCII white space, A-Z lowered) and each text's word count."""
-    data = b"\n".join([b"", *texts, b""])
-    buf = _LOWER[np.frombuffer(data, dtype=np.uint8)]
-    space = _SPACE[buf]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    start, end = edge[0::2], edge[1::2]
-    power, inverse = _tables(len(buf))
-    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[buf] * power[: len(buf)], out=sums[1:])
-    words = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
-    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))) + 1
-    upto = np.searchsorted(start, ends)
-    return words, np.diff(upto, prepend=0)
-
-
-def shingle_sets(texts: list[bytes | None], width: int = 5) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; with fewer words than width the whole sequence is one."""
-    texts = [t or b"" for t in texts]
-    words, counts = word_hashes(texts)
-    a, n = U(_A), len(words)
-    grams = np.zeros(max(n - width + 1, 0), dtype=np.uint64)
-    for k in range(width):
-        grams = grams * a + words[k : k + len(grams)]
-    grams = mix(grams)
+    found = words_of(texts)
+    grams = shingle_hashes(found.hashes, width)
     at = 0
-    for count in counts.tolist():
+    for count in found.counts.tolist():
         if count >= width:
-            found = np.sort(grams[at : at + count - width + 1])
-            yield found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) > 1 else found
+            own = np.sort(grams[at : at + count - width + 1])
+            yield own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) > 1 else own
         elif count:
-            h = U(count)
-            with np.errstate(over="ignore"):
-                for w in words[at : at + count]:
-                    h = h * a + w
-            yield mix(np.array([h], dtype=np.uint64))
+            yield whole_hash(found.hashes[at : at + count])
         else:
             yield np.zeros(0, dtype=np.uint64)
         at += count
 
 
-def sliced(ids: list, texts: list[bytes | None]) -> Iterator[tuple[list, list[bytes | None]]]:
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or b"") + 1
-        if size >= SLICE_BYTES:
-            yield ids[begin : i + 1], texts[begin : i + 1]
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield ids[begin:], texts[begin:]
-
-
 def node_key(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) >> 1
 
 
-def _documents(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _documents(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-        for some, part in sliced(ids, texts):
-            yield some, list(shingle_sets(part, width))
+        for part, texts in slices(batch):
+            yield part.column(0), list(shingle_sets(texts, width))
 
 
 def _members(width: int):
@@ -140,7 +70,7 @@ def _members(width: int):
         for ids, sets in _documents(batches, width):
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()),
+                    ids,
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_key(s) if len(s) else None for s in sets], pa.int64()),
                 ],
@@ -181,7 +111,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _token_blocks(width: int, shift: int, buckets: int):
+def _token_blocks(width: int, shift: int, buckets: int, percent: int):
     """Per map task and bucket one block of (token, node) entries sorted by token, with the nodes' set sizes."""
 
     def flush(tokens, nodes, sizes):
@@ -207,7 +137,7 @@ def _token_blocks(width: int, shift: int, buckets: int):
         tokens, nodes, sizes, seen, held = [], [], [], set(), 0
         for _, sets in _documents(batches, width):
             for s in sets:
-                if len(s) < 3:  # such a set has a partner only in itself
+                if 100 * len(s) < percent * (len(s) + 1):  # such a set has a partner only in itself
                     continue
                 key = node_key(s)
                 if key in seen:
@@ -293,7 +223,7 @@ def signatures(token: np.ndarray, often: np.ndarray, size: int, percent: int, fr
         by = np.argsort(group, kind="stable")
         later = np.zeros(len(rest), dtype=np.int64)
         later[by[1:]] = group[by][1:] == group[by][:-1]
-        # (for thresholds of 50 % and over, the groups are few enough that the whole set always suffices)
+        # (for thresholds over 50 %, the groups are few enough that the whole set always suffices)
         length = int(np.searchsorted(np.cumsum(later), needed)) + 1
         out.append(_pairs(rest[:length], group[:length], at))
     return np.unique(np.concatenate(out))
@@ -307,7 +237,7 @@ def _pairs(token: np.ndarray, group: np.ndarray, level: int) -> np.ndarray:
         same = group[gap:] == group[:-gap]
         if not same.any():
             break
-        out.append(mix(token[:-gap][same] * U(_A) + token[gap:][same] * U(_P) + U(level + 1)))
+        out.append(mix(token[:-gap][same] * U(A) + token[gap:][same] * U(P) + U(level + 1)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -405,36 +335,13 @@ def _sides(rows: DataFrame, keys: list[str]) -> DataFrame:
     return one.join(other, keys).where("a < b and label_a <> label_b")
 
 
-def components(edges: DataFrame, what: str = "components") -> DataFrame:
-    """(node, label) of every node of the edges (a, b): label is the least node that it is connected with.
-
-    Alternates hooking onto the least neighbour's label with pointer jumping; each round is written to the shared
-    folder, so lineage stays short. Groups are only ever reduced with min, never gathered."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
-    both = materialize(both.distinct(), what)
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), what)
-    while True:
-        # labels of the neighbours' labels, then one jump
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").groupBy(F.col("a").alias("node")).agg(F.min("lb").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        # what a member has learnt, its label's node learns too
-        told = hooked.groupBy(F.col("old").alias("node")).agg(F.min("label").alias("told"))
-        hooked = hooked.join(told, "node", "left").select("node", "old", F.least("label", F.coalesce("told", "label")).alias("label"))
-        jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = materialize(hooked.join(jump, "label", "left").select("node", "old", F.coalesce("next", "label").alias("label")), what)
-        changed = new.where("old <> label").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5, frequent: int = 32) -> DataFrame:
     """Per document: doc_id, n_shingles (its set's size) and component_id (least doc_id connected with it by links).
 
-    Two documents link when 100 * |intersection| >= percent * |union| of their shingle sets; percent is 50 at
+    Two documents link when 100 * |intersection| >= percent * |union| of their shingle sets; percent is 51 at
     least (the similarity's default is 0.75). frequent: document frequency from which tokens are paired."""
-    if not 50 <= percent <= 100:
-        raise ValueError("percent must be from 50 to 100")
+    if not 51 <= percent <= 100:
+        raise ValueError("percent must be from 51 to 100")
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     members = materialize(texts.mapInArrow(_members(width), "doc_id long, n_shingles long, node long"), "members")
@@ -443,8 +350,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return members.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     # Token hashes are cut to as many bits as keep chance agreement negligible at this size.
     bits = min(64, max(44, math.ceil(math.log2(total)) + 12))
-    buckets = max(2, shuffle_partitions(spark))
-    blocks = texts.mapInArrow(_token_blocks(width, 64 - bits, buckets), "bucket int, block binary")
+    buckets = max(shuffle_partitions(spark), -(-total // BUCKET_TOKENS))
+    blocks = texts.mapInArrow(_token_blocks(width, 64 - bits, buckets, percent), "bucket int, block binary")
     shared = blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared_tokens(buckets), "bucket int, block binary")
     sets = materialize(
         shared.repartitionById(buckets, F.col("bucket")).mapInArrow(_signed_sets(percent, frequent), "node long, n long, s long, tokens binary, sigs array<long>"), "sets"

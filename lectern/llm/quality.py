@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 from . import labelled
 from .common import held_out
-from .ngram_join import _BYTE, _LOWER, _SPACE, mix, sliced
+from .words import BYTE, LOWER, SPACE, U, mix, runs
 
-U = np.uint64
 DIM, TABLE, HIDDEN = 32, 1 << 15, 48
 #: The bound of the sample that a model is fitted on, by label.
 SAMPLE = {0: 3000, 1: 6000}
@@ -49,11 +48,11 @@ def word_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """Of all words in order: hash (A-Z lowered), ending's hash, shape (0-63), length; and each text's word count."""
     data = b"\n".join([b"", *texts, b""])
     raw = np.frombuffer(data, dtype=np.uint8)
-    space = _SPACE[raw]
+    space = SPACE[raw]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     start, end = edge[0::2], edge[1::2]
     length = end - start
-    low = _BYTE[_LOWER[raw]]
+    low = BYTE[LOWER[raw]]
     # the word's hash: its bytes' codes weighted by place (places from 24 on share a weight)
     hashed = np.zeros(len(start), dtype=np.uint64)
     for k in range(int(min(length.max(initial=0), 24))):
@@ -73,7 +72,7 @@ def train_vectors(texts: list[bytes], window: int = 2) -> np.ndarray:
     """Context vectors of the hashed words: summed index vectors of neighbours, as unit vectors."""
     index = index_vectors(TABLE, 11)
     table = np.zeros((TABLE, DIM), dtype=np.float32)
-    for _, part in sliced(list(range(len(texts))), texts):
+    for part in runs(texts):
         word, _, _, _, counts = word_features(part)
         row, owner = (word % U(TABLE)).astype(np.int64), np.repeat(np.arange(len(counts)), counts)
         for gap in range(1, window + 1):
@@ -95,8 +94,7 @@ def pooled(texts: list[bytes | None], vectors: np.ndarray) -> np.ndarray:
     """Feature rows of the texts."""
     endings = index_vectors(4096, 12)
     out = []
-    for _, part in sliced(list(range(len(texts))), texts):
-        part = [t or b"" for t in part]
+    for part in runs(texts):
         word, ending, shape, length, counts = word_features(part)
         n = len(part)
         sums = np.zeros((n, 2 * DIM + 48 + 6), dtype=np.float64)
