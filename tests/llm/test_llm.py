@@ -88,6 +88,29 @@ def test_ngram_join(docs, awkward, percent, frequent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {k: (len(sets[k]), want[k]) for k in sets}
 
 
+@pytest.mark.parametrize("percent", [51, 66])
+def test_ngram_join_of_small_sets(spark, percent):
+    """Sets of one to four shingles, of tokens that are in few and in many documents."""
+    rows = [(i, " ".join("abcdefghijkl"[k : k + 5 + n])) for i, (k, n) in enumerate((k, n) for k in range(4) for n in range(4))]
+    rows += [(100 + i, f"a b c d e f {i}") for i in range(50)] + [(200, "a b c d e f")]
+    sets = {i: shingles(t) for i, t in rows}
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == groups(sets, percent)
+
+
+def test_ngram_join_empty_and_long(spark, nothing, monkeypatch):
+    from lectern.llm import words as hashed
+
+    assert ngram_join.near_duplicates(nothing).count() == 0
+    rng = random.Random(12)
+    texts = [b"", b" \n", b"one", b"x" * 5000, " ".join(words(rng, 4000)).encode(), "é\tÜ".encode(), b"a1 b"]
+    whole = hashed.words_of(texts)
+    monkeypatch.setattr(hashed, "SLICE_BYTES", 700)
+    cut = hashed.words_of(texts)
+    assert all((x == y).all() for x, y in zip(whole[:5], cut[:5])) and cut.counts.tolist() == [len(t.split()) for t in texts]
+    assert cut.digits.tolist() == [any(48 <= c < 58 for c in w) for t in texts for w in t.split()]
+
+
 def test_signatures_meet():
     """Sets with enough in common always share a signature, whatever the frequencies."""
     import numpy as np
@@ -272,7 +295,7 @@ def test_packing(docs, awkward, nothing):
     import public_tokenizers as P
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    assert packing.ByteBPE()("a <|endoftext|> b") == t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     ids = {r[0]: [*t.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in awkward}
     rows = packing.pack_documents(docs).collect()
     pieces, used = defaultdict(Counter), defaultdict(list)
@@ -297,6 +320,41 @@ def test_packing(docs, awkward, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
+def test_packing_tiers_and_step_groups():
+    import numpy as np
+
+    rng = random.Random(11)
+    packer, want = packing.Packer(7 << 40), 0
+    lengths = [rng.choice([1, 2, 30, 100, 128, 129, 200, 256, 300, 512, 513, 700, 1023, 1024, 1025, 5000]) for _ in range(9000)]
+    for doc, n in enumerate(lengths):
+        packer.add(doc, np.full(n, doc, dtype="<u4"))
+        want += n
+    packer.finish()
+    sequences, groups, tier, parts = Counter(), Counter(), {}, Counter()
+    for doc, start, length, _, total, sequence, offset, size, group in packer.groups.rows:
+        sequences[sequence] += length
+        groups[group] += length
+        tier[sequence] = size
+        parts[doc] += total < packing.LONGEST
+    assert sum(sequences.values()) == want and all(n == tier[s] for s, n in sequences.items())
+    assert sorted(groups) == list(range(7 << 40, (7 << 40) + len(groups)))
+    totals = [groups[g] for g in sorted(groups)][:-2]
+    assert all(0 <= packing.STEP_TOKENS - n < packing.LONGEST for n in totals) and sum(n == packing.STEP_TOKENS for n in totals) > 0.8 * len(totals)
+    assert sum(n == 1 for n in parts.values()) > 0.75 * sum(n > 0 for n in parts.values())  # most documents that a sequence can hold are not cut
+
+    # short documents alone are packed in their own tier, and the gaps of long windows take short ones
+    def tiers(lengths):
+        p = packing.Packer(0)
+        for doc, n in enumerate(lengths):
+            p.add(doc, np.zeros(n, dtype="<u4"))
+        p.finish()
+        return Counter(r[7] for r in {r[5]: r for r in p.groups.rows}.values()), p.groups.rows
+
+    assert tiers([100] * 128)[0] == {128: 100} and tiers([256] * 8)[0] == {256: 8}
+    found, rows = tiers([700] * 10 + [324] * 10)
+    assert found == {1024: 10} and sorted((r[2], r[6]) for r in rows) == [(324, 700)] * 10 + [(700, 0)] * 10
+
+
 def test_exact_dedup(spark, docs, awkward, nothing):
     want = defaultdict(list)
     for r in awkward:
@@ -316,6 +374,10 @@ def test_chunks_are_the_text(spark, awkward):
     assert df.where(F.array_join(exact_dedup.chunks(F.col("text"), 16, 64), "") != F.col("text")).count() == 0
 
 
+def totals_of(rollup):
+    return {(r["source"], r["lang"], r["tokenizer"]): (r["docs"], r["tokens"]) for r in rollup.totals().collect()}
+
+
 def test_token_counts(spark, docs, awkward, nothing, tmp_path):
     rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
     assert rollup.totals().count() == 0
@@ -324,14 +386,91 @@ def test_token_counts(spark, docs, awkward, nothing, tmp_path):
     assert not rollup.apply("a", token_counts.counted(docs, signs))
     assert rollup.apply("b", token_counts.counted(docs.where("doc_id > 20").withColumn("sign", F.lit(-1)), signs))
     assert rollup.apply("empty", token_counts.counted(nothing, signs))
-    want = Counter()
+    n, tokens = Counter(), Counter()
     for r in awkward:
         if r[0] <= 20:
-            want[r[3], r[2], "words@1"] += len((r[1] or "").encode().split())
-    total = lambda: {(r["source"], r["lang"], r["tokenizer"]): r["tokens"] for r in rollup.totals().collect()}
-    assert total() == want
+            n[r[3], r[2], "words@1"] += 1
+            tokens[r[3], r[2], "words@1"] += len((r[1] or "").encode().split())
+    want = {k: (n[k], tokens[k]) for k in n}
+    assert totals_of(rollup) == want
+    for _ in range(2):
+        rollup.compact()
+        assert totals_of(rollup) == want and rollup.committed() == {"a", "b", "empty"}
+        assert not any(rollup.apply(i, token_counts.counted(docs, signs)) for i in ("a", "b", "empty"))
+    with pytest.raises(ValueError):
+        rollup.apply("../a", token_counts.counted(docs, signs))
+
+
+def test_token_counts_crashes(spark, tmp_path, monkeypatch):
+    """Cut off before the marker, inside it, and at each deletion of compact()."""
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    batch = lambda k: spark.createDataFrame([("s", "en", "words@1", 1, k)], token_counts._ROLLUP)
+
+    def cut(*_):
+        raise RuntimeError("cut off")
+
+    with monkeypatch.context() as m:
+        m.setattr(rollup, "_create", cut)
+        with pytest.raises(RuntimeError):
+            rollup.apply("x", batch(100))
+    assert rollup.totals().count() == 0
+    (tmp_path / "r/commits").mkdir()
+    (tmp_path / "r/commits/x").write_text("x")
+    assert rollup.apply("x", batch(1)) and rollup.apply("y", batch(2))
+    want = {("s", "en", "words@1"): (2, 3)}
+    for stop in range(1, 7):
+        done = []
+
+        def delete(name, f=token_counts.Rollup._delete, stop=stop, done=done):
+            done.append(name)
+            if len(done) == stop:
+                cut()
+            f(rollup, name)
+
+        with monkeypatch.context() as m:
+            m.setattr(rollup, "_delete", delete)
+            try:
+                rollup.compact()
+            except RuntimeError:
+                pass
+        assert totals_of(rollup) == want and not rollup.apply("x", batch(1)) and not rollup.apply("y", batch(2)), stop
+        assert rollup.apply(f"z{stop}", batch(stop))
+        want = {("s", "en", "words@1"): (2 + stop, 3 + stop * (stop + 1) // 2)}
+        assert totals_of(rollup) == want
+
+
+def test_token_counts_many_batches(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    one = pa.table({"source": ["s"], "lang": ["en"], "tokenizer": ["words@1"], "docs": pa.array([1], pa.int64()), "tokens": pa.array([3], pa.int64())})
+    for i in range(1000):
+        (tmp_path / f"r/data/f{i}").mkdir(parents=True)
+        pq.write_table(one, tmp_path / f"r/data/f{i}/part.parquet")
+        assert rollup._commit(f"batch-with-a-long-name-{i}", f"f{i}")
+    assert totals_of(rollup) == {("s", "en", "words@1"): (1000, 3000)}
     rollup.compact()
-    assert total() == want and not rollup.apply("b", token_counts.counted(docs, signs))
+    assert totals_of(rollup) == {("s", "en", "words@1"): (1000, 3000)} and len(rollup.committed()) == 1000
+    assert not rollup.apply("batch-with-a-long-name-7", spark.createDataFrame([], token_counts._ROLLUP))
+
+
+def test_token_counts_query(docs, awkward, nothing):
+    from tokenizers import Tokenizer
+    import public_tokenizers as P
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = defaultdict(lambda: [0, 0])
+    for r in awkward:
+        text = r[1] or ""
+        if r[1] is not None and len(text) < token_counts.SHORT:
+            continue
+        for name, k in (("byte_bpe_50k@1", len(t.encode(text, add_special_tokens=False).ids)), ("words@2", len(re.findall(r"[^\W_]+", text)))):
+            want[r[3], r[2], name][0] += 1
+            want[r[3], r[2], name][1] += k
+    got = {(r["source"], r["lang"], r["tokenizer"]): [r["docs"], r["tokens"]] for r in token_counts.maintained(docs).collect()}
+    assert got == want
+    assert token_counts.maintained(nothing).count() == 0
 
 
 def test_pipeline(spark, awkward, tmp_path):
