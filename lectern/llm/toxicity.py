@@ -28,6 +28,8 @@ from .common import held_out
 
 WINDOW, STRIDE = 96, 80
 ORDINARY_BYTES = 8192
+#: The ordinary dictionary is trained on so many windows of a text at most, spread over all of it, and on so many in all.
+TEXT_WINDOWS, TRAINING_WINDOWS = 20, 30_000
 #: The bound of the sample that a model is fitted on, by label.
 SAMPLE = {1: 2000, 0: 5000}
 THRESHOLD = 0.5
@@ -38,6 +40,10 @@ def windows(text: bytes) -> list[bytes]:
     return [text[i : i + WINDOW] for i in range(0, max(1, len(text) - WINDOW + STRIDE), STRIDE)]
 
 
+def spread(items: list, most: int) -> list:
+    return items if len(items) <= most else [items[i * (len(items) - 1) // (most - 1)] for i in range(most)]
+
+
 def _starts(word: bytes) -> set[bytes]:
     spaced = b" " + word
     return {spaced[:k] for k in range(5, 12) if len(spaced) >= k} | {spaced + b" "}
@@ -53,10 +59,10 @@ def _frequency(texts: list[bytes]) -> Counter:
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int = 5) -> tuple[bytes, bytes]:
     """Raw dictionary content: ordinary, and the same with the marks of toxic text before it."""
     rng = random.Random(seed)
-    lines = [w for t in ordinary for w in windows(t)[:20]]
+    lines = [w for t in ordinary for w in spread(windows(t), TEXT_WINDOWS)]
     rng.shuffle(lines)
     try:
-        plain = zstandard.train_dictionary(ORDINARY_BYTES, lines[:30_000]).as_bytes()[256:]
+        plain = zstandard.train_dictionary(ORDINARY_BYTES, lines[:TRAINING_WINDOWS]).as_bytes()[256:]
     except zstandard.ZstdError:  # too little text to train on
         plain = b"".join(lines)[-ORDINARY_BYTES:]
     in_toxic, in_ordinary = _frequency(toxic), _frequency(ordinary)
