@@ -55,11 +55,15 @@ def strip_control(c: Column) -> Column:
     return F.regexp_replace(c, CONTROL, "")
 
 
-def normalize(c: Column, composed: bool = False) -> Column:
-    """The word sequence of a text: lower case, punctuation but inside numbers as spaces, spaces collapsed.
+def compose(c: Column) -> Column:
+    """NFKC. ASCII texts are composed already and never leave the JVM (Spark has no built-in)."""
+    return F.coalesce(nfkc(F.when(F.octet_length(c) != F.char_length(c), c)), c)
 
-    composed: also compose characters (an Arrow function; Spark has no built-in)."""
-    c = strip_control(F.lower(nfkc(c) if composed else c))
+
+def normalize(c: Column) -> Column:
+    """The word sequence of a text: composed characters, lower case, punctuation but inside numbers as spaces, spaces
+    collapsed."""
+    c = strip_control(F.lower(compose(c)))
     c = F.regexp_replace(c, r"\r\n|[\r\n\x0B\x0C\x85  \t_]", " ")
     c = F.regexp_replace(c, r"(?<=\p{Nd})[.,](?=\p{Nd})", "\x01")
     c = F.regexp_replace(c, r"(?<=\p{Nd})[-–−](?=\p{Nd})", "\x02")
@@ -134,8 +138,8 @@ def shorten_label(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """Sentences of a text; closing quotes and brackets at a boundary go with the boundary."""
-    parts = F.split(F.translate(c, "\n", " "), "(?<=[.!?…])[\"'”’)\\]]*[ \\n]+")
+    """Sentences of a text; straight closing quotes and brackets at a boundary go with the boundary, curly ones stay."""
+    parts = F.split(F.translate(c, "\n", " "), "(?<=[.!?…])[\"')\\]]*[ \\n]+")
     return F.filter(F.transform(parts, F.trim), lambda x: x != "")
 
 

@@ -29,17 +29,16 @@ def holders(quotes: DataFrame, passages: DataFrame) -> DataFrame:
     between its joiners."""
     q = quotes.select("quote_id", X.normalize(F.col("quote")).alias("q")).where("q <> ''").withColumn("w", F.split("q", " "))
     q = q.withColumn("k", F.when(F.size("w") >= GRAM, GRAM).otherwise(1)).withColumn("h", F.when(F.col("k") == GRAM, _head(F.col("w"), GRAM)).otherwise(_head(F.col("w"), 1)))
-    segments = passages.select("passage_id", F.explode(F.split("text", F.lit(r"\n\[\.\.\.\]\n"))).alias("s"))
-    p = segments.select("passage_id", X.normalize(F.col("s")).alias("p")).where("p <> ''")
-    p = p.withColumn("ws", F.transform(F.split("p", " "), lambda w: F.xxhash64(w)))
+    segments = passages.select("passage_id", F.posexplode(F.split("text", F.lit(r"\n\[\.\.\.\]\n"))).alias("segment", "s"))
+    p = segments.select("passage_id", "segment", F.transform(F.split(X.normalize(F.col("s")), " "), lambda w: F.xxhash64(w)).alias("ws"))
     grams = lambda k: F.when(F.size("ws") >= k, F.transform(F.sequence(F.lit(0), F.size("ws") - k), lambda i: F.xxhash64(*[F.get("ws", i + j) for j in range(k)])))
     none = F.array().cast("array<bigint>")
     tagged = lambda k: F.transform(F.array_distinct(F.coalesce(grams(k), none)), lambda h: F.struct(F.lit(k).alias("k"), h.alias("h")))
     marks = F.concat(tagged(GRAM), tagged(1))
-    wanted = q.select("k", "h").distinct()
-    # only marks that some quote begins with leave the passages' tasks
-    cand = p.select("passage_id", "p", F.explode(marks).alias("m")).select("passage_id", "p", "m.k", "m.h").join(wanted, ["k", "h"], "left_semi")
-    return cand.join(q, ["k", "h"]).where(X.holds(F.col("p"), F.col("q"))).select("quote_id", "passage_id").distinct()
+    # hashes alone meet; texts are joined and normalised for the candidates only
+    met = p.select("passage_id", "segment", F.explode(marks).alias("m")).select("passage_id", "segment", "m.k", "m.h").join(q, ["k", "h"])
+    cand = met.select("passage_id", "segment", "quote_id", "q").join(segments, ["passage_id", "segment"])
+    return cand.where(X.holds(X.normalize(F.col("s")), F.col("q"))).select("quote_id", "passage_id").distinct()
 
 
 def verdicts(quotes: DataFrame, passages: DataFrame, held: DataFrame) -> DataFrame:

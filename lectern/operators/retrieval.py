@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Candidates of each list, and the constants of fusion and BM25.
@@ -58,19 +60,45 @@ def postings(docs: DataFrame) -> DataFrame:
     return each.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """(query_id, doc_id, score, rank) of queries (query_id, text). Only the postings of query terms are shuffled;
-    the collection's size and mean length are one aggregation over lengths."""
+#: Partitions over which an index deals one term's postings, so that a frequent term is no single task's.
+SPREAD = 8
+
+
+class Index(NamedTuple):
+    """A BM25 index that was written: postings (term, doc_id, tf, dl), terms (term, df) and sizes (n, mean), one row."""
+
+    postings: DataFrame
+    terms: DataFrame
+    sizes: DataFrame
+
+
+def build_index(docs: DataFrame, path: str) -> Index:
+    """Write the index of documents (doc_id, text) to a folder that all machines share. The texts are read and tokenised
+    once for the postings, and their sizes come from the same pass; files are sorted by term, so that a reader of some
+    terms skips the rest."""
+    dealt = postings(docs).repartition("term", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("term", "doc_id")
+    dealt.write.parquet(f"{path}/postings")
+    spark = docs.sparkSession
+    written = spark.read.parquet(f"{path}/postings")
+    written.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
+    total = docs.agg(F.count("*").alias("n"))
+    words = written.agg(F.sum("tf").alias("words"))
+    total.join(F.broadcast(words)).select("n", (F.coalesce("words", F.lit(0)) / F.greatest("n", F.lit(1))).alias("mean")).write.parquet(f"{path}/sizes")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{part}") for part in Index._fields))
+
+
+def bm25(queries: DataFrame, index: Index, k: int = CANDIDATES) -> DataFrame:
+    """(query_id, doc_id, score, rank) of queries (query_id, text). Only the postings of the queries' terms are joined;
+    no document is read."""
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    stats = docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    wanted = terms.select("term").distinct()
-    held = postings(docs).join(wanted, "term", "left_semi")
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    scored = held.join(df, "term").join(F.broadcast(stats)).withColumn(
-        "w",
-        F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean"))),
-    )
-    sums = terms.join(scored.select("term", "doc_id", "w"), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    weighed = terms.join(index.terms, "term").join(F.broadcast(index.sizes))
+    weighed = weighed.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    w = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    sums = weighed.join(index.postings, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(w), 6).alias("score"))
     return top(sums, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 

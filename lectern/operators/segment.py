@@ -20,7 +20,7 @@ HEADING = (
     r"|THE [A-Z]+ BOOK|[IVXL]+\.\s+[A-Z][A-Z '’,;-]{3,70}\.?)$"
 )
 _MARKDOWN = re.compile(r"^(#{1,2})[ \t]+(\S.*?)[ \t]*#*[ \t]*$", re.M)
-_BOUNDARY = re.compile(r"(?<=[.!?…])[\"'”’)\]]*[ \n]+")
+_BOUNDARY = re.compile(r"(?<=[.!?…])[\"')\]]*[ \n]+")
 
 SECTIONS = T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("body", T.StringType())]))
 
@@ -152,8 +152,8 @@ def chunk_rows(books: DataFrame) -> DataFrame:
 
 class _Paragraphs(HTMLParser):
     # Elements whose text is not read, and elements that end a paragraph.
-    SKIP = {"script", "style", "head", "svg", "noscript", "template", "math"}
-    BREAK = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "table", "section", "article", "blockquote", "pre", "hr", "body", "figure", "figcaption", "header", "footer", "nav", "aside", "main"}
+    SKIP = {"script", "style", "head", "title", "svg", "math", "noscript", "template", "object", "iframe", "button", "select", "textarea"}
+    BREAK = {"p", "div", "section", "article", "aside", "header", "footer", "nav", "main", "blockquote", "pre", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "thead", "tbody", "caption", "figure", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "br", "address", "body", "html"}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,10 +15,14 @@ def advance(state: Column, fresh: Column, gone: Column) -> Column:
 
 
 def streaks(events: DataFrame) -> DataFrame:
-    """Per run (user_id): steps, dry, dropped and the peak of dry. A run's steps are folded in order; a step takes two
-    booleans, so even long runs stay small."""
-    step = F.struct("ts", "event_id", F.col("event_type").isin("purchase", "signup").alias("fresh"), (F.col("event_type") == "error").alias("gone"))
-    start = F.struct(F.lit(0).cast("long").alias("dry"), F.lit(0).cast("long").alias("dropped"), F.lit(0).cast("long").alias("peak"))
-    runs = events.groupBy("user_id").agg(F.sort_array(F.collect_list(step)).alias("s"))
-    folded = runs.select("user_id", F.size("s").cast("long").alias("steps"), F.aggregate("s", start, lambda st, x: advance(st, x["fresh"], x["gone"])).alias("f"))
-    return folded.select("user_id", "steps", "f.*")
+    """Per run (user_id): steps, dry, dropped and the peak of dry; advance() told by running sums, which spill.
+
+    A step is dry unless it is fresh or the first of a row of dropped ones; dry steps count from the last fresh one on."""
+    fresh = F.col("event_type").isin("purchase", "signup")
+    steps = events.select("user_id", "ts", "event_id", fresh.cast("long").alias("fresh"), (~fresh & (F.col("event_type") == "error")).cast("long").alias("gone"))
+    run = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = steps.withColumns({"act": F.sum("fresh").over(run), "row": F.sum(1 - F.col("gone")).over(run), "first": F.col("gone") * (1 - F.coalesce(F.lag("gone").over(run), F.lit(0)))})
+    within = lambda c: Window.partitionBy("user_id", c).orderBy("ts", "event_id")
+    steps = steps.withColumn("dry", F.sum((1 - F.col("fresh")) * (1 - F.col("first"))).over(within("act"))).withColumn("dropped", F.sum("gone").over(within("row")))
+    last = F.struct("ts", "event_id")
+    return steps.groupBy("user_id").agg(F.count("*").alias("steps"), F.max_by("dry", last).alias("dry"), F.max_by("dropped", last).alias("dropped"), F.max("dry").alias("peak"))

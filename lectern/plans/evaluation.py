@@ -12,13 +12,13 @@ from lectern.sources.tables import table
 from .registry import both, query
 from .retrieval import _KNN, h_knn_top20
 
-_HITS = f"""hits AS (SELECT k.query_id, k.rank, q.label = v.label AS good FROM ({_KNN}) k JOIN embeddings q ON q.vec_id = k.query_id * 50 JOIN embeddings v ON v.vec_id = k.doc_id WHERE k.doc_id <> k.query_id * 50)"""
+_HITS = f"""hits AS (SELECT k.query_id, k.rank, q.label = v.label AS good FROM ({_KNN}) k JOIN embeddings q ON q.vec_id = k.query_id * 20 JOIN embeddings v ON v.vec_id = k.doc_id WHERE k.doc_id <> k.query_id * 20)"""
 
 
 def _hits(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    k = h_knn_top20(spark, sf_dir).where("doc_id <> query_id * 50")
-    mine = v.select((F.col("vec_id") / 50).alias("query_id"), F.col("label").alias("want"), "vec_id").where("vec_id % 50 = 0").withColumn("query_id", F.col("query_id").cast("long")).drop("vec_id")
+    k = h_knn_top20(spark, sf_dir).where("doc_id <> query_id * 20")
+    mine = v.select((F.col("vec_id") / 20).alias("query_id"), F.col("label").alias("want"), "vec_id").where("vec_id % 20 = 0").withColumn("query_id", F.col("query_id").cast("long")).drop("vec_id")
     return k.join(mine, "query_id").join(v.withColumnRenamed("vec_id", "doc_id"), "doc_id").select("query_id", "rank", (F.col("label") == F.col("want")).alias("good"))
 
 
@@ -46,13 +46,13 @@ def e_coverage(spark, sf_dir):
     return _hits(spark, sf_dir).groupBy("query_id").agg(F.round(F.count_if("good") / F.count("*"), 6).alias("coverage"))
 
 
-@query("""SELECT u.conv_id, u.turn, len(list_filter(string_split(lower(u.text), ' ')[1:3], lambda f: contains(lower(a.text), f)))::BIGINT AS facts_found, least(3, len(string_split(u.text, ' ')))::BIGINT AS facts_expected
+@query("""SELECT u.conv_id, u.turn, len(list_filter(string_split(lower(u.text), ' '), lambda f: contains(lower(a.text), f)))::BIGINT AS facts_found, len(string_split(u.text, ' '))::BIGINT AS facts_expected
 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'""")
 def e_facts_found(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     asked = c.where("role = 'user'").select("conv_id", "turn", F.split(F.lower("text"), " ").alias("w"))
     said = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.lower("text").alias("answer"))
-    facts = asked.join(said, ["conv_id", "turn"]).withColumn("facts", F.slice("w", 1, 3))
+    facts = asked.join(said, ["conv_id", "turn"]).withColumnRenamed("w", "facts")
     return facts.select("conv_id", "turn", F.size(F.filter("facts", lambda f: F.col("answer").contains(f))).cast("long").alias("facts_found"), F.size("facts").cast("long").alias("facts_expected"))
 
 

@@ -1,12 +1,12 @@
-"""Hybrid retrieval: vectors are embeddings (documents by vec_id), queries every 50th vector; text queries are the
-first eight words of benchmark passages."""
+"""Hybrid retrieval: vectors are embeddings (documents by vec_id), queries every vector whose id is divisible by 20; text queries are
+whole benchmark passages."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lectern.operators import retrieval as R
-from lectern.sources.tables import table
+from lectern.sources.tables import table, work_path
 
 from .registry import query
 
@@ -17,11 +17,15 @@ def _vectors(spark, sf_dir):
 
 
 def _vector_queries(spark, sf_dir):
-    return _vectors(spark, sf_dir).where("doc_id % 50 = 0").select((F.col("doc_id") / 50).cast("long").alias("query_id"), F.col("v").alias("q"))
+    return _vectors(spark, sf_dir).where("doc_id % 20 = 0").select((F.col("doc_id") / 20).cast("long").alias("query_id"), F.col("v").alias("q"))
+
+
+def _bm25(spark, sf_dir, docs):
+    return R.bm25(_text_queries(spark, sf_dir), R.build_index(docs.select("doc_id", "text"), work_path(spark, "bm25")))
 
 
 def _text_queries(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(R.tokens(F.col("text")), 1, 8), " ").alias("text"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 _L2 = "list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))"
@@ -31,11 +35,11 @@ _TOK = "list_filter(string_split(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+
 
 def _knn_sql(metric: str, order: str, where: str = "true") -> str:
     return f"""SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {order}, doc_id) AS rank FROM (
- SELECT q.vec_id // 50 AS query_id, v.vec_id AS doc_id, round({metric}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 AND {where}) s) r WHERE rank <= 20"""
+ SELECT q.vec_id // 20 AS query_id, v.vec_id AS doc_id, round({metric}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 AND {where}) s) r WHERE rank <= 20"""
 
 
 def _bm25_sql(docs: str = "documents") -> str:
-    return f"""q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK.format('text')}[1:8]) AS term FROM benchmark),
+    return f"""q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK.format('text')}) AS term FROM benchmark),
 d AS (SELECT doc_id, {_TOK.format('text')} AS ts FROM {docs}),
 st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM d),
 p AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM d) x WHERE term IN (SELECT term FROM q) GROUP BY term, doc_id, dl),
@@ -69,20 +73,19 @@ def h_cosine_topk(spark, sf_dir):
 
 @query(f"WITH {_bm25_sql()} SELECT * FROM bm")
 def h_bm25_top20(spark, sf_dir):
-    return R.bm25(_text_queries(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _bm25(spark, sf_dir, table(spark, sf_dir, "documents"))
 
 
 @query(_rrf_sql(_KNN, "documents", 8))
 def h_hybrid_rrf(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return R.rrf(h_knn_top20(spark, sf_dir), R.bm25(_text_queries(spark, sf_dir), docs), 8).select("query_id", "doc_id", "score", "rank")
+    return R.rrf(h_knn_top20(spark, sf_dir), _bm25(spark, sf_dir, table(spark, sf_dir, "documents")), 8).select("query_id", "doc_id", "score", "rank")
 
 
 @query(_rrf_sql(_knn_sql(_L2, "ASC", "v.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"), _EN, 4))
 def h_rrf_filtered(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("lang = 'en'")
     near = R.knn(_vector_queries(spark, sf_dir), _vectors(spark, sf_dir).join(docs.select("doc_id"), "doc_id", "left_semi"))
-    return R.rrf(near, R.bm25(_text_queries(spark, sf_dir), docs.select("doc_id", "text")), 4).select("query_id", "doc_id", "score", "rank")
+    return R.rrf(near, _bm25(spark, sf_dir, docs), 4).select("query_id", "doc_id", "score", "rank")
 
 
 _BUDGET = """WITH c AS (SELECT k.*, CASE WHEN d.lang = 'en' THEN 'cards' ELSE 'transcripts' END AS corpus FROM ({knn}) k JOIN documents d USING (doc_id))

@@ -10,7 +10,7 @@ from lectern.sources.tables import table
 
 from .registry import both, query
 
-_SENT = """list_filter(list_transform(string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?…])["''”’)\\]]*[ \\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"""
+_SENT = """list_filter(list_transform(string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?…])["'')\\]]*[ \\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"""
 
 
 def _docs(spark, sf_dir):

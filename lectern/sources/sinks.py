@@ -87,11 +87,16 @@ def backfilled(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(ids.select("note", "book_id").dropDuplicates(["note"]), "note", "left").withColumns({"book_id": F.coalesce("book_id", F.lit("")), "book_rev": F.lit("")})
 
 
+#: Files of a manifest whose listing is digested at once; a listing takes about 100 bytes a file.
+MOST_FILES = 1_000_000
+
+
 def directory_digest(files: DataFrame) -> DataFrame:
-    """One digest of (path, sha256) rows: SHA-256 of the sorted lines, a file's digest and path on each. The listing is
-    a manifest of files, one short line for each."""
+    """One digest of (path, sha256) rows: SHA-256 of the sorted lines, a file's digest and path on each. The digest is of
+    one text, so a manifest has MOST_FILES files at most; a larger one is an error."""
+    small = files.agg(F.count("*").alias("n")).where(F.when(F.col("n") > MOST_FILES, F.raise_error(F.lit("too many files for one digest"))).otherwise(F.lit(True)).cast("boolean"))
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "sha256"))), lambda x: F.concat(x["sha256"], F.lit("  "), x["path"])), "\n")
-    return files.agg(F.sha2(lines, 256).alias("digest"), F.count("*").alias("files"))
+    return files.join(F.broadcast(small)).agg(F.sha2(lines, 256).alias("digest"), F.count("*").alias("files"))
 
 
 def verify_manifest(expected: DataFrame, found: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,3 +64,17 @@ def read_recording(spark: SparkSession, path: str, version: int = 1) -> DataFram
         raise ValueError(f"{path}: recorded under another schema version than {version}")
     calls = rows.where("kind = 'call'").groupBy("id", "attempt").agg(F.sort_array(F.collect_list(F.struct("call_index", "role", "raw"))).alias("calls"))
     return calls
+
+
+def work_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir). A folder of our own is made
+    only where none is set and all of Spark runs in this one process."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        context = spark.sparkContext._jsc.sc()
+        if not context.getCheckpointDir().isDefined():
+            if not context.isLocal():
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
+        found = context.getCheckpointDir().get()
+    return f"{found}/lectern-{what}-{uuid.uuid4().hex}"
