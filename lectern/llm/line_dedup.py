@@ -207,12 +207,13 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # only lines of a template that more than one document holds can recur
     keyed = lines.select("uid", "pos", "n", "line").join(members(lines.select("line", "n", "leaf", "parts")), "line", "left").select("uid", "pos", "n", F.coalesce("template", "line").alias("template"))
     keyed = materialize(keyed, "keyed")
-    shared = keyed.groupBy("template").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo < hi").select("template")
-    shared = keyed.join(shared, "template", "left_semi").join(families(parsed), "uid", "left")
+    # (lists of templates are written, so that a join with them has an exchange on both sides and can split a hot one)
+    repeated = keyed.groupBy("template").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo < hi").select("template")
+    shared = keyed.join(materialize(repeated, "repeated"), "template", "left_semi").join(families(parsed), "uid", "left")
     shared = materialize(shared.select("uid", "pos", "n", "template", F.coalesce("family", "uid").alias("family")), "shared")
     remove(keyed)
     remove(parsed)
-    drops = shared.join(recurring(shared), "template", "left_semi").groupBy("uid").agg(F.collect_set("pos").alias("drop"))
+    drops = shared.join(materialize(recurring(shared), "recurring"), "template", "left_semi").groupBy("uid").agg(F.collect_set("pos").alias("drop"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text.alias("text"), uid.alias("uid")).join(drops, "uid", "left")
     # a step of its own, so that each text is split once
