@@ -1,7 +1,7 @@
 """Rules that the test tables do not exercise."""
 
-import random
 import datetime as dt
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -226,3 +226,74 @@ def test_resolve_names_of_a_large_catalogue(spark, monkeypatch):
     monkeypatch.setattr(resolve, "MOST_NAMES", 20)
     monkeypatch.setattr(resolve, "ASKED", 7, raising=False)
     assert rows() == want
+
+
+def test_ledger_life(spark, tmp_path):
+    from lectern.operators import ledger as L
+    from lectern.sources.sinks import Store
+
+    books = L.Ledger(Store(spark, f"file://{tmp_path}"))
+    assert books.rows().count() == 0 and L.missing(books.rows()).count() == 0
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    assert books.begin(made([("1", "Emma — Jane Austen", "local:a:emma.txt", "s1"), ("2", "Walden — H. D. Thoreau", "local:a:walden.txt", "s2")], "book_id string, key string, source_ref string, sha256 string"), "t1", "pack") == 2
+    assert {r["title"] for r in L.missing(books.rows()).collect()} == {"Emma", "Walden"}
+    books.commit(made([("1", 7)], "book_id string, rows long"), "t2")
+    books.fail(made([("2", "no\n text " + "x" * 900)], "book_id string, error string"))
+    got = {r["book_id"]: r for r in books.rows().collect()}
+    assert (got["1"]["status"], got["1"]["rows"], got["1"]["author"], got["1"]["indexed_at"]) == ("indexed", 7, "Jane Austen", "t2")
+    assert got["2"]["status"] == "failed" and got["2"]["error"].startswith("no text x") and len(got["2"]["error"]) == L.LONGEST_ERROR
+    # begun again under a corrected key: what the batch leaves empty stays
+    books.begin(made([("2", "Walden — Henry Thoreau", "", "")], "book_id string, key string, source_ref string, sha256 string"), "t3")
+    again = books.rows().where("book_id = '2'").first()
+    assert (again["key"], again["source_ref"], again["status"], again["error"]) == ("Walden — Henry Thoreau", "local:a:walden.txt", "requested", "")
+    with pytest.raises(KeyError):
+        books.commit(made([("9", 1)], "book_id string, rows long"), "t4")
+    with pytest.raises(ValueError):
+        books.put(made([("1", 1)], "book_id string, colour long"))
+    assert books.backfill(made([("n1", "Emma — Jane Austen"), ("n2", "Dracula — Bram Stoker"), ("n2", "Dracula — Bram Stoker")], "note string, book string"), "t5") == 3
+    assert books.rows().where("key like 'Dracula%'").first()["rows"] == 2
+
+
+def test_ledger_resolve_in_order(spark):
+    from lectern.operators import ledger as L
+
+    held = L.with_fields(spark.createDataFrame([("1", "A", "local:x:a", "s1"), ("2", "B", "local:x:b", "s2")], "book_id string, key string, source_ref string, sha256 string"))
+    rows = [(1, "A2", "local:x:a", ""), (2, "A", "local:x:q", ""), (3, "B", "", ""), (4, "B2", "local:x:b", ""), (5, "C", "local:x:c", "s2"), (6, "C", "local:x:d", "")]
+    got = {r["ord"]: r for r in L.resolve(held, spark.createDataFrame(rows, "ord int, key string, source_ref string, sha256 string")).collect()}
+    # 1 takes the file's slot before 2 answers to the old key; 3 has claimed B's slot before 4 asks for it
+    assert [got[i]["matched_by"] for i in range(1, 7)] == ["source", "key", "key", "new", "new", "key"]
+    assert got[1]["book_id"] == "1" and got[3]["book_id"] == "2" and got[5]["book_id"] == got[6]["book_id"] and got[5]["twin"] == "B" and got[4]["twin"] is None
+
+
+def test_ledger_and_index_agree(spark):
+    from lectern.operators import ledger as L
+
+    held = L.with_fields(spark.createDataFrame([("1", "A", "indexed", 2)], "book_id string, key string, status string, rows long"))
+    rows = spark.createDataFrame([("A", "1"), ("A", "1")], "book string, book_id string")
+    assert L.check(held, rows, rows.select("book")).count() == 0
+
+
+def test_index_of_nothing_and_streaks_match_the_fold(spark, tmp_path):
+    from functools import reduce
+
+    from lectern.operators import retrieval, streaks
+
+    empty = retrieval.build_index(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/i")
+    assert retrieval.bm25(spark.createDataFrame([(1, "word")], "query_id long, text string"), empty).count() == 0
+    rng = random.Random(5)
+    steps = [(u, i, i, rng.choice(["purchase", "error", "error", "view"])) for u in range(6) for i in range(rng.randrange(1, 40))]
+
+    def fold(state, kind):
+        dry, dropped, peak = state
+        if kind == "purchase":
+            dry, dropped = 0, 0
+        elif kind == "error":
+            dropped += 1
+            dry += dropped >= 2
+        else:
+            dry, dropped = dry + 1, 0
+        return dry, dropped, max(peak, dry)
+
+    got = streaks.streaks(spark.createDataFrame(steps, "user_id int, ts int, event_id int, event_type string"))
+    want = {u: reduce(fold, [k for x, _, _, k in steps if x == u], (0, 0, 0)) for u in {s[0] for s in steps}}
+    assert {r["user_id"]: (r["dry"], r["dropped"], r["peak"]) for r in got.collect()} == want
