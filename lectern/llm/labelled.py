@@ -20,12 +20,13 @@ def excerpt(text: Column) -> Column:
     return F.when(F.char_length(text) <= LONGEST, text).otherwise(F.concat_ws("\n", *[F.substring(text, at, F.lit(size)) for at in starts]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: Column, per_class: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str]]:
+def sample(docs: DataFrame, labels: DataFrame, label: Column, per_class: dict[int, int], id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> list[tuple[int, str]]:
     """(label, text) of up to per_class[label] rows each, those with the least hash of their id; rows of the held-out
-    fold and rows without text or label are never taken. Equal texts are taken once. Only ids of those rows and their excerpts reach the driver."""
+    fold and rows without text or label are never taken. whole: of texts of LONGEST characters at most, for models whose
+    features follow the length. Equal texts are taken once. Only ids of those rows and their excerpts reach the driver."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), label.cast("int").alias("_label")).where("_label is not null and _id is not null")
     known = known.where(~held_out(F.col("_id"))).dropDuplicates(["_id"])
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(F.octet_length("_text") > 0)
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where((F.char_length("_text") <= LONGEST) if whole else F.lit(True)).where(F.octet_length("_text") > 0)
     # The ids are chosen first, by hash; their number is bounded, and only their texts leave the executors.
     both = texts.select("_id").distinct().join(known, "_id")
     order = F.xxhash64("_id", F.lit(17))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import labelled
 from .common import held_out
-from .words import BYTE, LOWER, SPACE, U, mix, runs
+from .words import BYTE, LOWER, SPACE, U, mix, runs, slices
 
 DIM, TABLE, HIDDEN = 32, 1 << 15, 48
 #: The bound of the sample that a model is fitted on, by label.
@@ -168,12 +168,9 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
     def run(batches):
         m = shared.value
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            if m and texts:
-                s = 1 / (1 + np.exp(-np.clip(_forward(m["net"], pooled(texts, m["vectors"])) / m["net"]["temperature"], -30, 30)))
-            else:
-                s = np.ones(len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
+            for part, texts in slices(batch):
+                s = 1 / (1 + np.exp(-np.clip(_forward(m["net"], pooled(texts, m["vectors"])) / m["net"]["temperature"], -30, 30))) if m else np.ones(len(texts))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

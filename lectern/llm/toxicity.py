@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import labelled, logistic
 from .common import held_out
+from .words import slices
 
 WINDOW, STRIDE = 96, 80
 ORDINARY_BYTES = 8192
@@ -49,10 +50,12 @@ def _starts(word: bytes) -> set[bytes]:
     return {spaced[:k] for k in range(5, 12) if len(spaced) >= k} | {spaced + b" "}
 
 
-def _frequency(texts: list[bytes]) -> Counter:
+def _frequency(texts: list[bytes], of: dict | None = None) -> Counter:
+    """In how many texts each word start is (of those given)."""
     found: Counter = Counter()
     for t in texts:
-        found.update(set().union(*map(_starts, set(_WORD(t)))) if t else ())
+        own = set().union(*map(_starts, set(_WORD(t)))) if t else set()
+        found.update(own if of is None else own & of.keys())
     return found
 
 
@@ -65,8 +68,10 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int = 5)
         plain = zstandard.train_dictionary(ORDINARY_BYTES, lines[:TRAINING_WINDOWS]).as_bytes()[256:]
     except zstandard.ZstdError:  # too little text to train on
         plain = b"".join(lines)[-ORDINARY_BYTES:]
-    in_toxic, in_ordinary = _frequency(toxic), _frequency(ordinary)
     least = max(3, 0.03 * len(toxic))
+    # rarer starts are neither marks nor longer forms of marks
+    in_toxic = {s: n for s, n in _frequency(toxic).items() if n >= 0.6 * least}
+    in_ordinary = _frequency(ordinary, in_toxic)
     marks = {}
     for s, n in in_toxic.items():
         expected = in_ordinary[s] * len(toxic) / len(ordinary)
@@ -103,7 +108,7 @@ class Compressors:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> dict | None:
-    rows = labelled.sample(docs, labels, F.col("toxic"), sample or SAMPLE)
+    rows = labelled.sample(docs, labels, F.col("toxic"), sample or SAMPLE, whole=True)
     texts = {v: [t.encode().lower() for y, t in rows if y == v] for v in (0, 1)}
     if min(map(len, texts.values())) < 2:
         return None
@@ -126,9 +131,9 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
     def run(batches):
         c = Compressors(model["ordinary"], model["toxic"]) if model else None
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            s = logistic.apply(model["fit"], np.array([c.features(t or b"") for t in texts])) if model and texts else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s, pa.float64())], names=[*names, "score"])
+            for part, texts in slices(batch, 0):
+                s = logistic.apply(model["fit"], np.array([c.features(t) for t in texts])) if model else np.zeros(len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s, pa.float64())], names=[*names, "score"])
 
     scored = kept.mapInArrow(run, out)
     return scored.withColumns({"held_out": F.coalesce(held_out(F.col(id_col)), F.lit(False)), "predicted": (F.col("score") >= THRESHOLD).cast("int")})
