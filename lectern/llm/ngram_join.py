@@ -36,7 +36,7 @@ from .words import A, P, U, mix, shingle_hashes, slices, whole_hash, words_of
 #: Tokens a map task gathers before it writes one block per bucket.
 FLUSH_TOKENS = 1_000_000
 #: Tokens of a bucket on average; the number of buckets follows the corpus.
-BUCKET_TOKENS = 1_500_000
+BUCKET_TOKENS = 3_000_000
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[np.ndarray]:
@@ -112,7 +112,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def _token_blocks(width: int, shift: int, buckets: int, percent: int):
-    """Per map task and bucket one block of (token, node) entries sorted by token, with the nodes' set sizes."""
+    """Per map task and bucket one block of (token, node) entries sorted by token."""
 
     def flush(tokens, nodes, sizes):
         token = np.concatenate(tokens)
@@ -121,14 +121,14 @@ def _token_blocks(width: int, shift: int, buckets: int, percent: int):
         order = np.lexsort((token, bucket)) if buckets > 1 else np.argsort(token)
         token, owner, bucket = token[order], owner[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        node, size = np.array(nodes, dtype=np.uint64), np.array(sizes, dtype=np.uint32)
+        node = np.array(nodes, dtype=np.uint64)
         ids, blobs = [], []
         for b in range(buckets):
             lo, hi = cuts[b], cuts[b + 1]
             if lo < hi:
                 used, local = np.unique(owner[lo:hi], return_inverse=True)
                 t = token[lo:hi]
-                blob = pack(np.diff(t, prepend=U(0)), local.astype(np.uint16 if len(used) < 65536 else np.uint32), node[used], size[used])
+                blob = pack(np.diff(t, prepend=U(0)), local.astype(np.uint16 if len(used) < 65536 else np.uint32), node[used])
                 ids.append(b), blobs.append(blob)
         for i in range(0, len(ids), 64):
             yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 64], pa.int32()), pa.array(blobs[i : i + 64], pa.binary())], names=["bucket", "block"])
@@ -157,14 +157,14 @@ def _shared_tokens(buckets: int):
     """Of one token bucket: the entries of tokens that two or more nodes hold, with their frequency, by node bucket."""
 
     def run(batches):
-        parts = [[], [], []]
+        parts = [[], []]
         for batch in batches:
             for blob in batch.column(1).to_pylist():
-                gaps, local, node, size = unpack(blob)
-                parts[0].append(np.cumsum(gaps)), parts[1].append(node[local]), parts[2].append(size[local])
+                gaps, local, node = unpack(blob)
+                parts[0].append(np.cumsum(gaps)), parts[1].append(node[local])
         if not parts[0]:
             return
-        token, node, size = (np.concatenate(p) for p in parts)
+        token, node = (np.concatenate(p) for p in parts)
         del parts
         order = np.argsort(token)
         token = token[order]
@@ -173,33 +173,50 @@ def _shared_tokens(buckets: int):
         keep[1:] |= same
         keep[:-1] |= same
         token, order = token[keep], order[keep]
-        node, size = node[order], size[order]
+        node = node[order]
         order = np.lexsort((node, token))
-        token, node, size = token[order], node[order], size[order]
+        token, node = token[order], node[order]
         if len(token):
             first = np.ones(len(token), dtype=bool)
             first[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, node, size = token[first], node[first], size[first]
+            token, node = token[first], node[first]
         _, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
         often = count[inverse].astype(np.uint32)
         keep = often > 1
-        token, node, size, often = token[keep], node[keep], size[keep], often[keep]
+        token, node, often = token[keep], node[keep], often[keep]
         bucket = (node % U(buckets)).astype(np.int64)
         order = np.lexsort((token, node, bucket))
-        token, node, size, often, bucket = token[order], node[order], size[order], often[order], bucket[order]
+        token, node, often, bucket = token[order], node[order], often[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         ids, blobs = [], []
         for b in range(buckets):
             lo, hi = cuts[b], cuts[b + 1]
             if lo < hi:
                 ids.append(b)
-                blobs.append(pack(token[lo:hi], node[lo:hi], size[lo:hi], often[lo:hi]))
+                blobs.append(pack(token[lo:hi], node[lo:hi], often[lo:hi]))
         for i in range(0, len(ids), 64):
             yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 64], pa.int32()), pa.array(blobs[i : i + 64], pa.binary())], names=["bucket", "block"])
 
     return run
 
 
+def _set_sizes(buckets: int):
+    """Blocks of (node, set size) by node bucket, from (node, n)."""
+
+    def run(batches):
+        for batch in batches:
+            node, n = (c.to_numpy().astype(np.uint64) for c in batch.columns)
+            bucket = (node % U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            node, n, bucket = node[order], n[order], bucket[order]
+            ids = np.unique(bucket)
+            cuts = np.append(np.searchsorted(bucket, ids), len(bucket))
+            blobs = [pack(node[lo:hi], n[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "block"])
+
+    return run
+
+
 def signatures(token: np.ndarray, often: np.ndarray, size: int, percent: int, frequent: int) -> np.ndarray | None:
     """Signatures of a set of which token (with frequencies often) are the tokens that others hold too.
 
@@ -245,23 +262,27 @@ def _signed_sets(percent: int, frequent: int):
     """Per node with possible partners: its set size, its shared tokens (their gaps, packed) and its signatures."""
 
     def run(batches):
-        parts = [[], [], [], []]
+        parts, known = [[], [], []], [[], []]
         for batch in batches:
             for blob in batch.column(1).to_pylist():
-                for p, x in zip(parts, unpack(blob)):
+                arrays = unpack(blob)
+                for p, x in zip(known if len(arrays) == 2 else parts, arrays):
                     p.append(x)
         if not parts[0]:
             return
-        token, node, size, often = (np.concatenate(p) for p in parts)
-        del parts
+        token, node, often = (np.concatenate(p) for p in parts)
+        whose, size = (np.concatenate(p) for p in known)
+        del parts, known
+        order = np.argsort(whose)
+        whose, size = whose[order], size[order]
         order = np.lexsort((token, node))
-        token, node, size, often = token[order], node[order], size[order], often[order]
+        token, node, often = token[order], node[order], often[order]
         begin = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
         end = np.append(begin[1:], len(node))
         rows: list[tuple] = []
         held = 0
         for lo, hi in zip(begin.tolist(), end.tolist()):
-            n = int(size[lo])
+            n = int(size[np.searchsorted(whose, node[lo])])
             found = signatures(token[lo:hi], often[lo:hi], n, percent, frequent)
             if found is not None and len(found):
                 rows.append((int(node[lo]), n, hi - lo, pack(np.diff(token[lo:hi], prepend=U(0))), (found >> U(1)).astype(np.int64)))
@@ -353,8 +374,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(shuffle_partitions(spark), -(-total // BUCKET_TOKENS))
     blocks = texts.mapInArrow(_token_blocks(width, 64 - bits, buckets, percent), "bucket int, block binary")
     shared = blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared_tokens(buckets), "bucket int, block binary")
+    # sizes go to a node's bucket once, and not beside its tokens
+    set_sizes = members.where("node is not null").select("node", F.col("n_shingles").alias("n")).distinct().mapInArrow(_set_sizes(buckets), "bucket int, block binary")
     sets = materialize(
-        shared.repartitionById(buckets, F.col("bucket")).mapInArrow(_signed_sets(percent, frequent), "node long, n long, s long, tokens binary, sigs array<long>"), "sets"
+        shared.union(set_sizes).repartitionById(buckets, F.col("bucket")).mapInArrow(_signed_sets(percent, frequent), "node long, n long, s long, tokens binary, sigs array<long>"), "sets"
     )
     # A link's intersection is percent / (100 + percent) of the summed sizes at least, and no larger than what
     # either set shares with any other.
