@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -86,3 +86,20 @@ def ascii_lower(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """The fold that no model learns from: crc32 of the id as text, divisible by 5."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], what: str) -> DataFrame:
+    """The rows with _i, from 0 within their group by ascending order (nulls first), and _n, the group's size; written to the
+    shared folder. Rows are range-partitioned by group and order, so that a large group is spread over many tasks, and
+    numbered by their place in a partition and the rows of the partitions before it. rows should be a written table, as
+    ranges are sampled from it first. Names that begin with an underscore are taken."""
+    placed = rows.repartitionByRange(*[F.col(c) for c in (group, *order)]).sortWithinPartitions(group, *order)
+    placed = materialize(placed.withColumn("_at", F.monotonically_increasing_id()), what).withColumn("_part", F.shiftright("_at", 33))
+    parts = placed.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    whole = Window.partitionBy(group)
+    parts = parts.select(
+        F.col(group).alias("_group"), F.col("_part").alias("_of"), "_first",
+        (F.sum("_rows").over(whole.orderBy("_part")) - F.col("_rows")).alias("_before"), F.sum("_rows").over(whole).alias("_n"),
+    )
+    found = placed.join(parts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
+    return found.select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("_i"), "_n")

@@ -1,10 +1,10 @@
-"""The queries op1 to op10 and the pipeline, and the SQL of those that SQL can express."""
+"""The queries op1 to op13 and the pipeline, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, license_scan, line_dedup, mixing, ngram_join, packing, quality, token_counts, toxicity
+from . import divergence, exact_dedup, fingerprints, license_scan, line_dedup, merkle, mixing, ngram_join, packing, quality, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -48,6 +48,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.maintained(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_mixing, op4_quality, op5_fingerprints, op6_line_dedup, op7_toxicity, op8_packing, op9_exact_dedup, op10_token_counts)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.sql(), "op3_mixing": mixing.sql(), "op9_exact_dedup": exact_dedup.ORACLE}
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.by_bytes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_mixing, op4_quality, op5_fingerprints, op6_line_dedup, op7_toxicity, op8_packing, op9_exact_dedup, op10_token_counts, op11_source_divergence, op12_merkle_manifest, op13_sharding)}
+
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.sql(), "op3_mixing": mixing.sql(), "op9_exact_dedup": exact_dedup.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_merkle_manifest": merkle.sql()}
