@@ -14,6 +14,9 @@ from lectern.sources.sinks import Store
 # The states of a book, and the length of a recorded error.
 REQUESTED, INDEXED, FAILED = "requested", "indexed", "failed"
 LONGEST_ERROR = 500
+LEGACY = "legacy"
+#: Ids that a new book's key and reference make, tried in turn.
+FREE_IDS = 8
 FIELDS = {
     "book_id": "string", "key": "string", "title": "string", "author": "string", "source_ref": "string", "sha256": "string", "chunker": "string", "embedding_model": "string",
     "status": "string", "error": "string", "rows": "long", "fts_seconds": "double", "requested_at": "string", "indexed_at": "string",
@@ -33,12 +36,14 @@ def resolve(ledger: DataFrame, incoming: DataFrame) -> DataFrame:
     """(ord, book_id, matched_by, twin) of incoming books (ord, key, source_ref, sha256).
 
     'key': the ledger, or an earlier book of the batch, has the key. Else 'source': the book whose source_ref is the same
-    keeps its id, unless an earlier book of the batch has claimed it. Else 'new', an id made from the key and the reference.
-    A digest adopts nothing: twin is the key of a ledger row with the same text, for a new book."""
+    keeps its id, unless an earlier book of the batch has claimed it. Else 'new', an id made from the key and the reference
+    that no living book has: ids stay with books that were renamed and moved since, so the first FREE_IDS that key and
+    reference make are tried, and beyond them a random one is taken (write the result before using it twice).
+    A digest adopts nothing: twin is the least key of a ledger row with the same text, for a new book; rows whose id an
+    earlier book of the batch has got are no twins."""
     held = ledger.groupBy("key").agg(F.min("book_id").alias("by_key"))
     place = ledger.where("source_ref <> ''").groupBy("source_ref").agg(F.min("book_id").alias("by_ref"))
-    text = ledger.where("sha256 <> ''").groupBy("sha256").agg(F.min("key").alias("same_text"))
-    found = incoming.join(held, "key", "left").join(place, "source_ref", "left").join(text, "sha256", "left")
+    found = incoming.join(held, "key", "left").join(place, "source_ref", "left")
     # the first of a key in the batch decides for the others
     first = F.row_number().over(Window.partitionBy("key").orderBy("ord")) == 1
     found = found.withColumn("first", first)
@@ -46,11 +51,24 @@ def resolve(ledger: DataFrame, incoming: DataFrame) -> DataFrame:
     # an id goes to the earliest of those that claim it by key or by source
     turn = F.row_number().over(Window.partitionBy("claims").orderBy("ord"))
     claimed = claimed.withColumn("adopts", F.col("by_key").isNull() & F.col("first") & F.col("by_ref").isNotNull() & (turn == 1))
-    own = F.when(F.col("by_key").isNotNull(), F.col("by_key")).when(F.col("adopts"), F.col("by_ref")).otherwise(F.md5(F.concat_ws("\x1f", "key", "source_ref")))
     matched = F.when(F.col("by_key").isNotNull() | ~F.col("first"), "key").when(F.col("adopts"), "source").otherwise("new")
-    heads = claimed.where("first").select("key", own.alias("book_id"))
-    out = claimed.select("ord", "key", matched.alias("matched_by"), "same_text").join(heads, "key")
-    return out.select("ord", "book_id", "matched_by", F.when(F.col("matched_by") == "new", F.col("same_text")).alias("twin"))
+    decided = claimed.select("ord", "key", "source_ref", "sha256", "first", matched.alias("matched_by"), F.coalesce("by_key", F.when(F.col("adopts"), F.col("by_ref"))).alias("kept"))
+    # ids for new books: candidates that the ledger lacks
+    tries = F.transform(F.sequence(F.lit(0), F.lit(FREE_IDS - 1)), lambda n: F.struct(n.alias("n"), new_id(F.col("key"), F.col("source_ref"), n).alias("id")))
+    tried = decided.where("matched_by = 'new'").select("key", F.explode(tries).alias("t")).select("key", "t.*")
+    free = tried.join(ledger.select(F.col("book_id").alias("id")).distinct(), "id", "left_anti").groupBy("key").agg(F.min_by("id", "n").alias("free"))
+    heads = decided.where("first").join(free, "key", "left").select("key", F.coalesce("kept", "free", F.replace(F.expr("uuid()"), F.lit("-"), F.lit(""))).alias("book_id"))
+    out = decided.join(heads, "key").select("ord", "book_id", "matched_by", "sha256")
+    # a twin's row must not be one that the batch took over before this book: its first taker comes later, or none does
+    taken = out.where("matched_by <> 'new'").groupBy("book_id").agg(F.min("ord").alias("taken"))
+    texts = ledger.where("sha256 <> ''").select("sha256", "book_id", F.col("key").alias("same_text")).join(taken, "book_id", "left").drop("book_id")
+    new = out.where("matched_by = 'new'").select("ord", "sha256").join(texts, "sha256").where("taken is null or taken > ord").groupBy("ord").agg(F.min("same_text").alias("twin"))
+    return out.join(new, "ord", "left").select("ord", "book_id", "matched_by", "twin")
+
+
+def new_id(key: Column, source_ref: Column, n: Column) -> Column:
+    """The n-th id that a key and a reference make."""
+    return F.md5(F.concat_ws("\x1f", key, source_ref, F.when(n > 0, n.cast("string"))))
 
 
 def diff(ledger: DataFrame, files: DataFrame, scope: str = "") -> DataFrame:
@@ -161,10 +179,13 @@ class Ledger:
         line = F.left(F.trim(F.regexp_replace("new.error", r"\s+", " ")), F.lit(LONGEST_ERROR))
         return self._changed(books, {"status": F.lit(FAILED), "error": line})
 
-    def backfill(self, rows: DataFrame, now: str) -> int:
-        """A ledger from rows (note, book) of an index that had none: one indexed book for each note, its id from the
-        note; books whose key the ledger has are left alone."""
-        found = rows.groupBy("note").agg(F.min("book").alias("key"), F.count("*").alias("rows")).join(self.rows().select("key"), "key", "left_anti")
-        ids = F.md5(F.concat(F.lit("note:"), F.col("note")))
-        new = found.select(ids.alias("book_id"), "key", X.title_of(F.col("key")).alias("title"), X.author_of(F.col("key")).alias("author"), F.concat(F.lit("note:"), "note").alias("source_ref"), "rows")
-        return self.put(new.withColumns({"status": F.lit(INDEXED), "requested_at": F.lit(now), "indexed_at": F.lit(now)}))
+    def backfill(self, rows: DataFrame, now: str, embedding_model: str = "") -> int:
+        """A ledger from rows (note, book) of an index that had none: one indexed book for each key, its reference the least
+        note of its rows (none: empty), its chunker LEGACY. Keys that the ledger has are left alone. Returns the ledger's size."""
+        found = rows.where("book <> ''").groupBy(F.col("book").alias("key")).agg(F.min(F.nullif("note", F.lit(""))).alias("note"), F.count("*").alias("rows")).join(self.rows().select("key"), "key", "left_anti")
+        ref = F.coalesce(F.concat(F.lit("note:"), "note"), F.lit(""))
+        ids = found.withColumn("source_ref", ref).select("key", "source_ref", "rows", F.explode(F.sequence(F.lit(0), F.lit(FREE_IDS - 1))).alias("n")).withColumn("book_id", new_id(F.concat(F.lit("legacy:"), "key"), F.col("source_ref"), F.col("n")))
+        ids = ids.join(self.rows().select("book_id"), "book_id", "left_anti").groupBy("key", "source_ref", "rows").agg(F.min_by("book_id", "n").alias("book_id"))
+        new = ids.select("book_id", "key", X.title_of(F.col("key")).alias("title"), X.author_of(F.col("key")).alias("author"), "source_ref", "rows")
+        fixed = {"chunker": LEGACY, "embedding_model": embedding_model, "status": INDEXED, "requested_at": now, "indexed_at": now}
+        return self.put(new.withColumns({k: F.lit(v) for k, v in fixed.items()}))

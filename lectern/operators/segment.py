@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -155,27 +156,52 @@ class _Paragraphs(HTMLParser):
     SKIP = {"script", "style", "head", "title", "svg", "math", "noscript", "template", "object", "iframe", "button", "select", "textarea"}
     BREAK = {"p", "div", "section", "article", "aside", "header", "footer", "nav", "main", "blockquote", "pre", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "thead", "tbody", "caption", "figure", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "br", "address", "body", "html"}
 
+    VOID = {"br", "hr", "img", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.line: list[str] = []
+        #: elements open within one that is skipped, that one first, and for each name where it was opened
         self.skipped: list[str] = []
+        self.opened: dict[str, list[int]] = defaultdict(list)
 
     def end(self) -> None:
         if text := " ".join("".join(self.line).split()):
             self.out.append(text)
         self.line = []
 
+    def close_to(self, tag: str) -> None:
+        """Close the innermost open element of that name and all that is open in it; places of elements that others
+        have closed are stale, and are met once."""
+        places = self.opened[tag]
+        while places:
+            at = places.pop()
+            if at < len(self.skipped) and self.skipped[at] == tag:
+                del self.skipped[at:]
+                return
+
     def handle_starttag(self, tag, attrs):
-        if tag in self.SKIP:
-            self.skipped.append(tag)
-        if tag in self.BREAK:
+        if tag == "body":  # ends a head that nothing else did
+            while "head" in self.opened and self.skipped and self.opened["head"]:
+                self.close_to("head")
+        if self.skipped or tag in self.SKIP:
+            if tag not in self.VOID:
+                self.opened[tag].append(len(self.skipped))
+                self.skipped.append(tag)
+        elif tag in self.BREAK:
+            self.end()
+
+    def handle_startendtag(self, tag, attrs):
+        if tag == "body":
+            self.handle_starttag(tag, attrs)
+        elif not self.skipped and tag in self.BREAK:
             self.end()
 
     def handle_endtag(self, tag):
-        if self.skipped and tag == self.skipped[-1]:
-            self.skipped.pop()
-        if tag in self.BREAK:
+        if self.skipped:
+            self.close_to(tag)
+        elif tag in self.BREAK:
             self.end()
 
     def handle_data(self, data):

@@ -81,13 +81,14 @@ def q_recover_outcome(spark, sf_dir):
 @query("""
 WITH i AS (SELECT c_custkey AS ord, 'k' || c_custkey % 900 AS key, 'r' || c_nationkey * 7 AS ref, 's' || c_custkey % 50 AS sha FROM customer),
 led AS (SELECT 'b' || s_suppkey AS id, 'k' || s_suppkey AS key, 'r' || s_suppkey AS ref, 's' || s_suppkey AS sha FROM supplier),
-k AS (SELECT i.*, l.id AS by_key, r.id AS by_ref, t.key AS same_text, row_number() OVER (PARTITION BY i.key ORDER BY ord) = 1 AS head
+k AS (SELECT i.*, l.id AS by_key, r.id AS by_ref, t.key AS same_text, t.id AS same_id, row_number() OVER (PARTITION BY i.key ORDER BY ord) = 1 AS head
  FROM i LEFT JOIN led l ON l.key = i.key LEFT JOIN led r ON r.ref = i.ref LEFT JOIN led t ON t.sha = i.sha),
 c AS (SELECT *, coalesce(by_key, CASE WHEN head THEN by_ref END) AS claims FROM k),
 a AS (SELECT *, by_key IS NULL AND head AND by_ref IS NOT NULL AND row_number() OVER (PARTITION BY claims ORDER BY ord) = 1 AS adopts FROM c),
 m AS (SELECT *, CASE WHEN by_key IS NOT NULL OR NOT head THEN 'key' WHEN adopts THEN 'source' ELSE 'new' END AS matched_by,
- CASE WHEN by_key IS NOT NULL THEN by_key WHEN adopts THEN by_ref ELSE md5(key || chr(31) || ref) END AS own FROM a)
-SELECT m.ord, h.own AS book_id, m.matched_by, CASE WHEN m.matched_by = 'new' THEN m.same_text END AS twin FROM m JOIN m h ON h.key = m.key AND h.head""")
+ CASE WHEN by_key IS NOT NULL THEN by_key WHEN adopts THEN by_ref ELSE md5(key || chr(31) || ref) END AS own FROM a),
+o AS (SELECT m.ord, h.own AS book_id, m.matched_by, m.same_text, m.same_id FROM m JOIN m h ON h.key = m.key AND h.head)
+SELECT ord, book_id, matched_by, CASE WHEN matched_by = 'new' AND NOT EXISTS (SELECT 1 FROM o e WHERE e.book_id = o.same_id AND e.ord < o.ord) THEN same_text END AS twin FROM o""")
 def q_ledger_resolve(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     incoming = c.select(F.col("c_custkey").alias("ord"), F.concat(F.lit("k"), F.col("c_custkey") % 900).alias("key"), F.concat(F.lit("r"), F.col("c_nationkey") * 7).alias("source_ref"), F.concat(F.lit("s"), F.col("c_custkey") % 50).alias("sha256"))
