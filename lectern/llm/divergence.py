@@ -41,7 +41,7 @@ LEAST_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
 #: How much larger each wave of buckets is than the one before.
 GROWTH = 8
 #: Bytes of counted terms that a map task holds, about, before it writes them.
-FLUSH_BYTES = 64 << 20
+FLUSH_BYTES = 128 << 20
 
 _TERM = bytes(int(LOWER[b]) if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -110,24 +110,26 @@ def divergence(p: str, q: str) -> Column:
     return F.expr(f"({p} - {q}) * ({p} - {q}) div {q}")
 
 
-def term_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def term_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Written tables: postings (lang, source, term, n, total: of the language) of kept terms; groups (lang, source, whole:
-    N + V, v, has: terms that it has); languages (lang, all_whole: N + V)."""
+    N + V, v, has: terms that it has, all_whole: the language's N + V).
+
+    Counts move once, to the partition of their language and term, where they are summed, and terms of few documents
+    dropped."""
     texts = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counted = texts.mapInArrow(_counts, "lang string, source string, term string, n long, docs long")
-    counted = materialize(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
-    kept = counted.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_DOCS)
-    kept = materialize(kept.select("lang", "term", "total"), "kept")
-    postings = materialize(counted.select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "postings")
-    remove(counted)
-    languages = kept.groupBy("lang").agg(F.sum("total").alias("all_n"), F.count("*").alias("v"))
+    counted = texts.mapInArrow(_counts, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
+    counted = counted.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")
+    kept = counted.withColumns({"total": F.sum("n").over(term), "all_docs": F.sum("docs").over(term), "least": F.min("source").over(term)}).where(F.col("all_docs") >= LEAST_DOCS)
+    postings = materialize(kept.select("lang", "source", "term", "n", "total", (F.col("source") == F.col("least")).alias("once")), "postings")
+    languages = postings.groupBy("lang").agg(F.sum("n").alias("all_n"), F.count_if("once").alias("v"))
     held = postings.groupBy("lang", "source").agg(F.sum("n").alias("own_n"), F.count("*").alias("has"))
     every = texts.select("lang", "source").distinct()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     groups = every.join(held, ["lang", "source"], "left").join(languages, "lang", "left").select(
         "lang", "source", (zero("own_n") + zero("v")).alias("whole"), zero("v").alias("v"), zero("has").alias("has"), (zero("all_n") + zero("v")).alias("all_whole")
     )
-    return postings, materialize(groups, "groups"), kept
+    return postings.drop("once"), materialize(groups, "groups")
 
 
 def marking_terms(postings: DataFrame, groups: DataFrame, top: int = TOP, growth: int = GROWTH) -> DataFrame:
@@ -193,7 +195,7 @@ def source_pairs(postings: DataFrame, groups: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame) -> DataFrame:
     """(lang, source, part, item, value, rank) with part 'pair' and 'term'."""
-    postings, groups, _ = term_counts(docs)
+    postings, groups = term_counts(docs)
     names = ["lang", "source", "part", "item", "value", "rank"]
     parts = [source_pairs(postings, groups).withColumn("part", F.lit("pair")), marking_terms(postings, groups).withColumn("part", F.lit("term"))]
     return parts[0].select(*names).union(parts[1].select(*names))

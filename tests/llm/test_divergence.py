@@ -63,7 +63,7 @@ def test_audit_is_the_contract(docs):
 @pytest.mark.parametrize("top,growth", [(1, 2), (3, 2), (10, 4)])
 def test_waves_end_where_bounds_fall_below(docs, top, growth):
     """Ties at the last rank are frequent in this table, so an early stop would show."""
-    postings, groups, _ = divergence.term_counts(docs)
+    postings, groups = divergence.term_counts(docs)
     got = {(r.lang, r.source, "term", r.item, r.value, r["rank"]) for r in divergence.marking_terms(postings, groups, top, growth).collect()}
     assert got == {r for r in plain(rows_of(), top) if r[2] == "term"}
 
