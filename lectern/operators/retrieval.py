@@ -94,11 +94,21 @@ def open_index(spark: SparkSession, path: str) -> Index:
 def bm25(queries: DataFrame, index: Index, k: int = CANDIDATES) -> DataFrame:
     """(query_id, doc_id, score, rank) of queries (query_id, text). Only the postings of the queries' terms are joined;
     no document is read."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    weighed = terms.join(index.terms, "term").join(F.broadcast(index.sizes))
+    terms = query_terms(queries)
+    return scored(terms.join(index.terms, "term"), index.postings, index.sizes, k)
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term) of queries (query_id, text)."""
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+
+
+def scored(terms: DataFrame, postings: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """The first k documents by BM25 of terms (query_id, term, df), from postings (term, doc_id, tf, dl) and sizes (n, mean)."""
+    weighed = terms.join(F.broadcast(sizes))
     weighed = weighed.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     w = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    sums = weighed.join(index.postings, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(w), 6).alias("score"))
+    sums = weighed.join(postings, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(w), 6).alias("score"))
     return top(sums, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import retrieval as R
+from lectern.operators.segments import index_of
 from lectern.sources.tables import table, work_path
 
 from .registry import query
@@ -20,8 +21,9 @@ def _vector_queries(spark, sf_dir):
     return _vectors(spark, sf_dir).where("doc_id % 20 = 0").select((F.col("doc_id") / 20).cast("long").alias("query_id"), F.col("v").alias("q"))
 
 
-def _bm25(spark, sf_dir, docs):
-    return R.bm25(_text_queries(spark, sf_dir), R.build_index(docs.select("doc_id", "text"), work_path(spark, "bm25")))
+def _bm25(spark, sf_dir, docs, what=""):
+    """The first query of a corpus builds its index; others read it."""
+    return index_of(docs.select("doc_id", "text"), work_path(spark, "bm25").rpartition("/")[0], what).search(_text_queries(spark, sf_dir))
 
 
 def _text_queries(spark, sf_dir):
@@ -85,7 +87,7 @@ def h_hybrid_rrf(spark, sf_dir):
 def h_rrf_filtered(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("lang = 'en'")
     near = R.knn(_vector_queries(spark, sf_dir), _vectors(spark, sf_dir).join(docs.select("doc_id"), "doc_id", "left_semi"))
-    return R.rrf(near, _bm25(spark, sf_dir, docs), 4).select("query_id", "doc_id", "score", "rank")
+    return R.rrf(near, _bm25(spark, sf_dir, docs, "en"), 4).select("query_id", "doc_id", "score", "rank")
 
 
 _BUDGET = """WITH c AS (SELECT k.*, CASE WHEN d.lang = 'en' THEN 'cards' ELSE 'transcripts' END AS corpus FROM ({knn}) k JOIN documents d USING (doc_id))

@@ -137,3 +137,28 @@ def p_best_window(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     first = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("q"))
     return c.join(first, "conv_id").select("conv_id", "turn", P.spans(F.col("text"), F.col("q"), 200).alias("s")).select("conv_id", "turn", F.get("s", F.lit(0)).alias("start"), F.get("s", F.lit(1)).alias("finish"))
+
+
+@query("""WITH d AS (SELECT doc_id, text, len(text) AS n, chr(10) || '[chapter continues: ' || (len(text) - 400) || ' characters not shown]' AS mark FROM documents)
+SELECT doc_id, CASE WHEN n <= 400 THEN text ELSE left(text, 400 - len(mark)) || mark END AS shown, 0 AS start, CASE WHEN n <= 400 THEN n ELSE 400 - len(mark) END AS finish, n AS whole FROM d""")
+def c_window_head(spark, sf_dir):
+    """Windows for a question that no document answers: heads, with the characters that they leave out."""
+    from lectern.operators import windows as W
+
+    d = table(spark, sf_dir, "documents").select("doc_id", W.window(F.col("text"), F.lit("qqq 0000000"), 400).alias("w"))
+    return d.select("doc_id", F.col("w.text").alias("shown"), F.col("w.start").alias("start"), F.col("w.end").alias("finish"), F.col("w.whole").alias("whole"))
+
+
+@query("""WITH q AS (SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND len(b.text) <= 500)
+SELECT item_id, doc_id, true AS holds, true AS within FROM q""")
+def p_window_of_quotes(spark, sf_dir):
+    """Whether the window around a benchmark passage's words, in each document that holds it letter by letter, shows all of it
+    (passages of up to 500 characters, windows of 1,200), and keeps to the budget."""
+    from lectern.operators import provenance as P
+    from lectern.operators import windows as W
+
+    quotes = table(spark, sf_dir, "benchmark").where("char_length(text) <= 500").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    passages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+    met = P.holders(quotes, passages).join(quotes, "quote_id").join(passages, "passage_id").where(F.contains("text", "quote"))
+    shown = met.select(F.col("quote_id").alias("item_id"), F.col("passage_id").alias("doc_id"), "quote", W.window(F.col("text"), F.col("quote"), 1200).alias("w"))
+    return shown.select("item_id", "doc_id", F.contains("w.text", "quote").alias("holds"), (F.char_length("w.text") <= 1200).alias("within"))
