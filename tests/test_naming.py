@@ -46,7 +46,7 @@ def test_choice_and_refusals(spark):
 
 
 def test_headings(spark):
-    pairs = [("5. Eliminating Toil", "Eliminating toil"), ("III. Config", "config"), ("A Collection", "Collection"), ("Chapter 2.1 Logs", "logs"), ("B) Notes", "notes"), ("One", "Two")]
+    pairs = [("7) Salt Marshes", "Salt marshes"), ("IX. Tides", "tides"), ("A Harbour", "Harbour"), ("Chapter 2.1 Logs", "logs"), ("B) Notes", "notes"), ("One", "Two")]
     assert column(spark, pairs, "a string, b string", N.same_heading(F.col("a"), F.col("b"))) == [True, True, False, True, True, False]
     assert column(spark, [(" A\n  b ]",)], "h string", N.heading_title(F.col("h"))) == ["A b"]
     rows = [("B", "S", "t"), ("B", "", "t"), ("B", None, "t")]
