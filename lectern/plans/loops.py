@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from lectern.operators import streaks
 from lectern.sources.tables import table
@@ -63,3 +64,24 @@ SELECT user_id, step AS steps, dry, dropped, peak FROM f QUALIFY row_number() OV
 @query(_FOLD)
 def l_streaks(spark, sf_dir):
     return streaks.streaks(table(spark, sf_dir, "events"))
+
+
+@query("""
+WITH h AS (SELECT concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS hit_id, l_orderkey // 32 AS run, l_linenumber AS step, l_quantity < 40 AS card, 'B' || l_suppkey % 6 AS title, 'B' || l_suppkey % 6 || ' — S' AS book, l_linestatus AS text FROM lineitem),
+r AS (SELECT DISTINCT o_orderkey // 32 AS run, 'B' || (o_orderkey // 32) % 6 || ' — S' AS chosen, 2 AS asked_step FROM orders WHERE (o_orderkey // 32) % 2 = 0),
+f AS (SELECT l_orderkey // 32 AS run, l_linenumber AS step, 'B' || l_partkey % 6 AS title, row_number() OVER (PARTITION BY l_orderkey // 32 ORDER BY l_linenumber, l_orderkey * 1000000 + l_partkey) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.08),
+s AS (SELECT h.*, h.card AND EXISTS (SELECT 1 FROM h e WHERE e.run = h.run AND e.card AND e.book = h.book AND e.text = h.text AND e.step < h.step
+  AND NOT coalesce(h.book = r.chosen AND h.step > r.asked_step AND e.step <= r.asked_step, false)) AS seen FROM h LEFT JOIN r ON r.run = h.run),
+o AS (SELECT s.*, seen AND NOT EXISTS (SELECT 1 FROM f WHERE f.run = s.run AND f.step < s.step AND f.title = s.title AND f.n > (SELECT count(*) FROM f g WHERE g.run = s.run AND g.step < s.step) - 6) AS out_ FROM s)
+SELECT hit_id, out_ AND NOT (min(out_::INT) OVER (PARTITION BY run, step) = 1) AS withheld FROM o""")
+def l_withheld_cards(spark, sf_dir):
+    """Runs are blocks of 32 order keys, their steps line numbers; lines of less than 40 pieces are cards, returned ones with a
+    discount over 8 % are refused quotes, and every other run chose a book after its second step."""
+    from lectern.operators import withhold as W
+
+    line = table(spark, sf_dir, "lineitem").withColumn("run", F.expr("l_orderkey div 32"))
+    name = lambda c: F.concat(F.lit("B"), F.col(c) % 6)
+    hits = line.select(F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("hit_id"), "run", F.col("l_linenumber").alias("step"), (F.col("l_quantity") < 40).alias("card"), F.concat(name("l_suppkey"), F.lit(" — S")).alias("book"), F.lit("").alias("section"), F.col("l_linestatus").alias("text"))
+    runs = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 32").alias("run")).distinct().where("run % 2 = 0").select("run", F.concat(F.lit("B"), F.col("run") % 6, F.lit(" — S")).alias("chosen"), F.lit(2).alias("asked_step"))
+    refused = line.where("l_returnflag = 'R' and l_discount > 0.08").select("run", F.col("l_linenumber").alias("step"), (F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("ord"), name("l_partkey").alias("book"))
+    return W.withheld(hits, runs, refused).select("hit_id", "withheld")
