@@ -494,4 +494,4 @@ def test_oracle(spark, name):
     want = con.execute(ORACLE_SQL[name]).df()
     got = QUERIES[name](spark, SF).toPandas()[list(want.columns)]
     key = list(want.columns)
-    assert got.sort_values(key[:2]).reset_index(drop=True).astype(str).equals(want.sort_values(key[:2]).reset_index(drop=True).astype(str))
+    assert got.sort_values(key).reset_index(drop=True).astype(str).equals(want.sort_values(key).reset_index(drop=True).astype(str))
