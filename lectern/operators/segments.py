@@ -84,8 +84,10 @@ class SegmentedIndex:
 
     def upsert(self, docs: DataFrame, gone: DataFrame | None = None) -> None:
         """Put documents (doc_id, text) in place of those of the same ids, and delete those of gone (doc_id)."""
-        order = Window.partitionBy("doc_id").orderBy(F.desc(F.char_length("text")), F.desc("text"))
-        one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_n", F.row_number().over(order)).where("_n = 1")
+        one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        if one.groupBy("doc_id").count().where("count > 1").limit(1).count():  # texts move only if ids repeat
+            order = Window.partitionBy("doc_id").orderBy(F.desc(F.char_length("text")), F.desc("text"))
+            one = one.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
         sized = one.select("doc_id", F.size(R.tokens(F.col("text"))).alias("dl"))
         new = self._write(R.postings(one.select("doc_id", "text")), sized)
         ids = self._read("documents", [new[0]] if new else [], "doc_id long, dl int, segment string").select("doc_id")
