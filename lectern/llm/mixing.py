@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting; DataFrame functions only.
 
 Documents fall into cells (source, language, topic); a cell's weight starts as its tokens and is raked in turn to
-the target share of each source, language and topic, until the factors are steady. A document of cell c is then
+the target share of each source, language and topic, until the factors are steady (TOLERANCE). Targets that no
+weights of the cells can meet have no steady factors: raking then ends after MOST_TURNS, with a warning of what is left. A document of cell c is then
 wanted factor(c) = weight(c) / tokens(c) times; scaled so that no document is wanted more than once (and the sample
 has `share` of the corpus's tokens at most), that is its probability, and it is sampled when a uniform number that
 its id and text fix falls below. So every kept token's expected weight matches the targets where cells allow it.
@@ -13,6 +14,7 @@ the weight. Null values are the class OTHER too. Documents without tokens are in
 
 from __future__ import annotations
 
+import warnings
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +24,10 @@ from .common import materialize
 
 OTHER = "other"
 DIMENSIONS = ("source", "lang", "topic")
-TURNS = 15
+#: Raking ends when no factor changes by more than this in a turn, or after so many turns.
+TOLERANCE, MOST_TURNS = 1e-9, 60
+#: Turns that the SQL writes out.
+TURNS = 30
 #: There is no topic column; a text's form stands in: its characters per line, up to these limits.
 FORMS = ((150, "list"), (400, "notes"))
 LONGEST_FORM = "essay"
@@ -53,13 +58,15 @@ def _full(targets: dict[str, float]) -> dict[str, float]:
     return targets | ({OTHER: targets.get(OTHER, 0.0) + rest} if rest > 1e-12 or OTHER in targets else {})
 
 
-def fit(cells: DataFrame, targets: dict[str, dict[str, float]], turns: int = TURNS) -> dict[str, dict[str, float]]:
-    """Factors by dimension and class. cells: source, lang, topic, tokens; only margins come to the driver."""
+def fit(cells: DataFrame, targets: dict[str, dict[str, float]], turns: int = MOST_TURNS) -> tuple[dict[str, dict[str, float]], float]:
+    """Factors by dimension and class, and the largest change of a factor in the last turn (0 without tokens). cells:
+    source, lang, topic, tokens; only margins come to the driver."""
     full = {d: _full(targets[d]) for d in DIMENSIONS}
     factors = {d: dict.fromkeys(full[d], 1.0) for d in DIMENSIONS}
     total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
+    most = 0.0
     if not total:
-        return factors
+        return factors, most
     for _ in range(turns):
         most = 0.0
         for d in DIMENSIONS:
@@ -70,9 +77,11 @@ def fit(cells: DataFrame, targets: dict[str, dict[str, float]], turns: int = TUR
                     step = share / held * total / now[k] if held else 1.0
                     most = max(most, abs(step - 1))
                     factors[d][k] *= step
-        if most < 1e-9:
+        if most < TOLERANCE:
             break
-    return factors
+    else:
+        warnings.warn(f"targets are not met: factors still change by {most:.3g} a turn", stacklevel=3)
+    return factors, most
 
 
 def _factor(factors: dict[str, dict[str, float]]) -> Column:
@@ -100,7 +109,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], share: float = 1.
     # every row's class and count, once; texts are read again, not moved
     cells = rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens"))
     cells = materialize(cells, "cells")
-    factors = fit(cells, targets)
+    factors, _ = fit(cells, targets)
     names = {d: f"_{d}" for d in DIMENSIONS}
     scale = cells.where("tokens > 0").agg(F.max(_factor(factors)).alias("m"), F.sum(F.col("tokens") * _factor(factors)).alias("w"), F.sum("tokens").alias("n")).first()
     top = 1.0

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import labelled
 from .common import held_out
-from .words import BYTE, LOWER, SPACE, U, mix, runs, slices
+from .words import BYTE, LOWER, SPACE, U, mix, range_hashes, range_sums, runs, slices
 
 DIM, TABLE, HIDDEN = 32, 1 << 15, 48
 #: The bound of the sample that a model is fitted on, by label.
@@ -53,12 +53,7 @@ def word_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     start, end = edge[0::2], edge[1::2]
     length = end - start
     low = BYTE[LOWER[raw]]
-    # the word's hash: its bytes' codes weighted by place (places from 24 on share a weight)
-    hashed = np.zeros(len(start), dtype=np.uint64)
-    for k in range(int(min(length.max(initial=0), 24))):
-        has = length > k
-        hashed[has] = hashed[has] * U(0x9E3779B97F4A7C15) + low[start[has] + k]
-    word = mix(hashed + length.astype(np.uint64))
+    word = range_hashes(range_sums(low), start, end)
     last = [low[np.maximum(end - k, start)] * (length >= k) for k in (1, 2, 3)]
     ending = mix(last[0] * U(3) + last[1] * U(0x632BE59BD9B4E019) + last[2] * U(0xD6E8FEB86659FD93))
     count = [np.append(0, np.cumsum(t[raw])) for t in (_UPPER, _DIGIT, _MARK)]

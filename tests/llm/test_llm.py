@@ -495,3 +495,27 @@ def test_oracle(spark, name):
     got = QUERIES[name](spark, SF).toPandas()[list(want.columns)]
     key = list(want.columns)
     assert got.sort_values(key).reset_index(drop=True).astype(str).equals(want.sort_values(key).reset_index(drop=True).astype(str))
+
+
+def test_quality_reads_whole_words():
+    long = b"x" * 24
+    word, *_ = quality.word_features([long + b"abczzz", long + b"abdzzz", long.upper() + b"ABCZZZ", b"a" * 70_000 + b" b", b"a" * 69_999 + b"c b"])
+    assert word[0] != word[1] and word[0] == word[2] and word[3] != word[5] and word[4] == word[6]
+
+
+def test_raking_ends_when_steady(spark):
+    rows = [("a", "en", "list", 10), ("a", "fr", "list", 30), ("b", "en", "essay", 40), ("b", "fr", "list", 20)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.7, "b": 0.3}, "lang": {"en": 0.5, "fr": 0.5}, "topic": {"list": 0.8, "essay": 0.2}}
+    factors, left = mixing.fit(cells, targets)
+    got = {d: {} for d in mixing.DIMENSIONS}
+    for s, lang, topic, n in rows:
+        w = n * factors["source"][s] * factors["lang"][lang] * factors["topic"][topic]
+        for d, k in zip(mixing.DIMENSIONS, (s, lang, topic), strict=True):
+            got[d][k] = got[d].get(k, 0) + w / 100
+    assert left < mixing.TOLERANCE
+    assert all(abs(got[d][k] - share) < 1e-6 for d in targets for k, share in targets[d].items())
+    # no weights meet these: all of a's tokens are French
+    cells = spark.createDataFrame([("a", "fr", "list", 2), ("b", "fr", "list", 1), ("b", "en", "list", 1)], cells.schema)
+    with pytest.warns(UserWarning, match="not met"):
+        assert mixing.fit(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.9, "fr": 0.1}, "topic": {"list": 1.0}}, 4)[1] > 0.1
