@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.operators import blocks as B
 from lectern.operators import segment as S
 from lectern.sources.tables import table
 
@@ -98,3 +99,36 @@ def t_html_links(spark, sf_dir):
 @query("""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages""")
 def t_html_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.html_title(F.col("html")).alias("title"))
+
+
+# The article of a page, told by its borders: those of its heading are marked.
+_BLOCKS = r"""
+a AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '\s+', ' ', 'g'), '<br>', chr(10), 'g') AS body FROM pages),
+s AS (SELECT page_id, html, unnest(string_split(regexp_replace(regexp_replace(body, '<h1>', chr(1) || chr(2), 'g'), '</?p>|</h1>', chr(1), 'g'), chr(1))) AS piece, generate_subscripts(string_split(regexp_replace(regexp_replace(body, '<h1>', chr(1) || chr(2), 'g'), '</?p>|</h1>', chr(1), 'g'), chr(1)), 1) AS k FROM a),
+t AS (SELECT page_id, html, k, starts_with(piece, chr(2)) AS head, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(ltrim(piece, chr(2)), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '[ \t]+\n', chr(10), 'g'), ' ' || chr(10)) AS text FROM s),
+b AS (SELECT page_id, html, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS n, head, text FROM t WHERE text <> '')"""
+
+
+@query(f"""WITH {_BLOCKS} SELECT page_id, n, CASE WHEN head THEN 'heading' ELSE 'text' END AS kind, head::INT AS level, text FROM b""")
+def t_html_blocks(spark, sf_dir):
+    """Blocks of the pages' articles."""
+    found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(B.blocks(F.col("html"), "article")).alias("n", "b"))
+    return found.select("page_id", "n", "b.kind", "b.level", "b.text")
+
+
+@query(rf"""WITH {_BLOCKS},
+c AS (SELECT page_id, string_agg(CASE WHEN head THEN '### ' || text ELSE regexp_replace(text, '(^|\n)(#{{1,2}}[ \t])', '\1    \2', 'g') END, chr(10) || chr(10) ORDER BY n) AS markdown FROM b
+ WHERE NOT (n = 0 AND head AND lower(text) = lower(trim(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')))) GROUP BY page_id)
+SELECT page_id, coalesce(markdown, '') AS markdown FROM pages LEFT JOIN c USING (page_id)""")
+def t_html_markdown(spark, sf_dir):
+    """The pages' articles as Markdown below a chapter's heading, without a heading that repeats the page's title."""
+    found = table(spark, sf_dir, "pages").select("page_id", B.unescaped(S.html_title(F.col("html"))).alias("title"), B.blocks(F.col("html"), "article").alias("blocks"))
+    return found.select("page_id", B.render(F.col("blocks"), 1, F.col("title")).alias("markdown"))
+
+
+@query(r"""
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<a\b[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?s)<a\b[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a>', 2)) AS text,
+ generate_subscripts(regexp_extract_all(html, '<a ', 0), 1) - 1 AS n FROM pages)
+SELECT page_id, n, replace(href, '&amp;', '&') AS href, replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '&amp;', '&') AS text FROM l""")
+def t_html_anchors(spark, sf_dir):
+    return B.links(table(spark, sf_dir, "pages"), F.col("html"), "page_id")
