@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.operators import excerpts as X
 from lectern.operators import outline as O
 from lectern.sources.tables import table
 
@@ -33,3 +34,15 @@ def t_last_purchase(spark, sf_dir):
     alone = e.groupBy("user_id", "at").agg(F.count("*").alias("n")).where("n = 1").drop("n")
     found = O.last_before(e.join(alone, ["user_id", "at"]).select("user_id", "at", "event_id"), e.where("event_type = 'purchase'").select("user_id", "at", F.col("event_id").alias("value")), ["user_id"], or_at=True, span=86_400_000_000)
     return found.select("user_id", "event_id", F.col("mark").alias("last_purchase"))
+
+
+@query("""
+WITH c AS (SELECT source, doc_id, trim(left(text, 1500), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS opening FROM documents),
+l AS (SELECT source, list({'s': len(opening)::BIGINT, 'c': [doc_id]} ORDER BY doc_id) AS l FROM c WHERE opening <> '' GROUP BY source),
+f AS (SELECT source, list_reduce(list_prepend({'s': 0::BIGINT, 'c': []::BIGINT[]}, l), lambda a, x: CASE WHEN a.s + x.s <= 60000 THEN {'s': a.s + x.s, 'c': list_concat(a.c, x.c)} ELSE a END).c AS c FROM l),
+t AS (SELECT source, unnest(c) AS doc_id FROM f)
+SELECT t.source, count(*) AS chapters_read, string_agg('### ' || t.doc_id || chr(10) || opening, chr(10) || chr(10) ORDER BY t.doc_id) AS excerpts FROM t JOIN c ON c.doc_id = t.doc_id GROUP BY t.source""")
+def t_card_excerpts(spark, sf_dir):
+    """Excerpts of sources, whose documents are their chapters."""
+    chapters = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("n"), F.col("doc_id").cast("string").alias("title"), F.col("text").alias("body"))
+    return X.excerpts(chapters).withColumnRenamed("book", "source")

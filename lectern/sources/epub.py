@@ -141,5 +141,7 @@ def read_epubs(spark: SparkSession, folder: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "title", "author", "ordinal", "section", "body", "problem"]).astype({"ordinal": "Int32"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.epub").load(folder)
-    # whole files in memory: a few at a time
-    return files.select("path", "content").where(F.col("length") <= MOST_TOTAL).mapInPandas(run, SCHEMA)
+    read = files.select("path", "content").where(F.col("length") <= MOST_TOTAL).mapInPandas(run, SCHEMA)
+    # files that are too large are not read
+    large = files.where(F.col("length") > MOST_TOTAL).select("path", F.lit(f"larger than {MOST_TOTAL} bytes").alias("problem"))
+    return read.unionByName(large, allowMissingColumns=True)

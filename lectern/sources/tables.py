@@ -41,7 +41,7 @@ def book_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = BOO
 
 def read_books(spark: SparkSession, folder: str) -> DataFrame:
     """One row per text or Markdown file: path, text, markdown, and the key by the cascade front matter, first
-    line, file name. Texts that are not UTF-8 or hold nothing are left out."""
+    line, file name. Texts that are not UTF-8 or hold nothing are left out; refused_books() names them."""
     from lectern.functions import text as X
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,md}").load(folder)
@@ -55,6 +55,15 @@ def read_books(spark: SparkSession, folder: str) -> DataFrame:
     return books.select("path", body.alias("text"), F.col("path").endswith(".md").alias("markdown"), key.alias("book"), F.sha2("raw", 256).alias("sha256"))
 
 
+def refused_books(spark: SparkSession, folder: str) -> DataFrame:
+    """path and problem of each text or Markdown file that read_books() leaves out. Files of no bytes are not among them:
+    Spark's file sources pass over them."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,md}").load(folder)
+    text = F.col("content").cast("string")
+    problem = F.when(~F.expr("is_valid_utf8(cast(content as string))"), "not UTF-8").when(F.length(F.trim(text)) == 0, "holds nothing")
+    return raw.select("path", problem.alias("problem")).where("problem is not null")
+
+
 def read_recording(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
     """Calls of a recorded run (JSON lines), one row per id and attempt with its replies in order. A header of another
     version is an error."""
