@@ -140,7 +140,8 @@ def shorten_label(c: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Sentences of a text; straight closing quotes and brackets at a boundary go with the boundary, curly ones stay."""
     parts = F.split(F.translate(c, "\n", " "), "(?<=[.!?…])[\"')\\]]*[ \\n]+")
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    # a function of two arguments would get an element's place as what to trim
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def placed_chars(c: Column) -> Column:
