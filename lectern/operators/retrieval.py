@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,23 +35,85 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-#: Queries that a task compares its vectors with at a time; this many are broadcast.
-BLOCK = 4096
+#: Queries and vectors that are compared with each other in one task, and vectors of those at a time.
+BLOCK, PART, ROWS = 4096, 8192, 1024
+#: Scores are rounded to six digits: a pair may lie so far behind the k-th and still be among the first k.
+MARGIN = 2e-6
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    if len(set(pc.list_value_length(vectors).to_pylist())) > 1:
+        raise ValueError("vectors are of different lengths")
+    flat = vectors.combine_chunks().flatten()
+    return np.asarray(flat, dtype=np.float64).reshape(len(vectors), -1)
+
+
+def _in_order(a: np.ndarray, b: np.ndarray, term) -> np.ndarray:
+    """Sums of term(a, b) over the columns from the first to the last, as dot() and squared_l2() add them."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += term(a[:, j], b[:, j])
+    return out
+
+
+def _times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return x * y
+
+
+def nearest(q: np.ndarray, v: np.ndarray, k: int, by_cosine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of v, score) of at least the k best of v for each of q. Matrix products tell which pairs can be
+    among them; only those get the metric itself. Vectors without length have no cosine, and come last."""
+    qq, vv = (q * q).sum(axis=1), (v * v).sum(axis=1)
+    margin = MARGIN if by_cosine else MARGIN + 1e-12 * (qq.max(initial=0.0) + vv.max(initial=0.0))
+    reach, found = np.full((len(q), k), np.inf), []
+    for at in range(0, len(v), ROWS):
+        product, part = q @ v[at : at + ROWS].T, vv[at : at + ROWS]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            score = -product / np.sqrt(qq[:, None] * part) if by_cosine else qq[:, None] - 2.0 * product + part
+        score[np.isnan(score)] = np.inf
+        reach = np.partition(np.concatenate([reach, score], axis=1), k - 1, axis=1)[:, :k]
+        rows, columns = np.nonzero(score <= reach.max(axis=1)[:, None] + margin)
+        found.append((rows, columns + at, score[rows, columns]))
+    rows, columns, score = (np.concatenate(x) for x in zip(*found))
+    still = score <= reach.max(axis=1)[rows] + margin
+    rows, columns = rows[still], columns[still]
+    exact = np.empty(len(rows))
+    for at in range(0, len(rows), PART):
+        a, b = q[rows[at : at + PART]], v[columns[at : at + PART]]
+        if by_cosine:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                exact[at : at + PART] = _in_order(a, b, _times) / (np.sqrt(_in_order(a, a, _times)) * np.sqrt(_in_order(b, b, _times)))
+        else:
+            exact[at : at + PART] = _in_order(a, b, lambda x, y: (x - y) * (x - y))
+    return rows, columns, exact
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, metric=squared_l2, descending: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): all vectors (doc_id, v) against a stated set of queries (query_id, q).
 
-    Up to BLOCK queries are broadcast; a larger set is dealt into blocks of about that size, and each vector meets
-    every block by an equi-join. Every task keeps its own k best before the shuffle."""
-    n = queries.limit(BLOCK + 1).count()
-    if n <= BLOCK:
-        pairs = vectors.join(F.broadcast(queries))
-    else:
-        blocks = -(-queries.count() // BLOCK)
-        dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        pairs = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block")
-    pairs = pairs.select("query_id", "doc_id", F.round(metric(F.col("q"), F.col("v")), 6).alias("score"))
+    metric: squared_l2, or cosine (descending). Queries are dealt into blocks of about BLOCK and vectors into parts of
+    about PART; each part meets each block in one task, which keeps its k best (and what ties with them). Null vectors are
+    not compared."""
+    if (metric, descending) not in ((squared_l2, False), (cosine, True)):
+        raise ValueError("knn ranks by squared_l2 ascending or by cosine descending")
+    by_cosine = metric is cosine
+    queries, vectors = queries.where("q is not null"), vectors.where("v is not null")
+    blocks, parts = -(-queries.count() // BLOCK) or 1, -(-vectors.count() // PART) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    asked = queries.select("query_id", "q", dealt("query_id", blocks).alias("block"), every(parts).alias("part"))
+    held = vectors.select("doc_id", "v", every(blocks).alias("block"), dealt("doc_id", parts).alias("part"))
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            rows, columns, score = (np.empty(0, t) for t in ("int64", "int64", "float64"))
+        else:
+            rows, columns, score = nearest(_matrix(a["q"]), _matrix(b["v"]), k, by_cosine)
+        return pa.table({"query_id": a["query_id"].take(pa.array(rows)), "doc_id": b["doc_id"].take(pa.array(columns)), "score": pa.array(score)})
+
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
+    pairs = asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(compare, schema)
+    pairs = pairs.select("query_id", "doc_id", F.round(F.nanvl("score", F.lit(None).cast("double")), 6).alias("score"))
     best = F.desc("score") if descending else F.asc("score")
     return top(pairs, ["query_id"], [best, F.asc("doc_id")], k)
 
