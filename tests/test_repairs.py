@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.operators import retrieval as R
+from lectern.operators import windows as W
 
 
 def column(spark, values, f):
@@ -15,3 +18,42 @@ def test_sentences_lose_spaces_and_no_digits_of_their_place(spark):
     text = "Zero.  1 is one\n. 2 is two"
     assert column(spark, [" 0 hours.\n1 day is 1. 2 more  "], X.sentences) == [["0 hours.", "1 day is 1.", "2 more"]]
     assert column(spark, [text], X.placed_chars) == [len("Zero.") + len("1 is one .") + len("2 is two")]
+
+
+def test_a_window_of_a_quote_shows_it_where_its_words_stand_denser_elsewhere():
+    quote = "the lamp went out and the keeper slept"
+    text = "filler words here. " * 100 + quote + ". " + "other words there. " * 100 + "out keeper slept went lamp and the the the " * 6 + "more of it. " * 100
+    assert quote not in W.around(text, quote, 700).text
+    shown = W.around(text, quote, 700, verbatim=True)
+    assert quote in shown.text and len(shown.text) <= 700
+    assert W.around(text, "keeper of the lamp", 700, verbatim=True) == W.around(text, "keeper of the lamp", 700)
+
+
+def test_normalize_keeps_marks_in_and_before_numbers_only(spark):
+    got = column(spark, ["1.2,3-4–5 x-6 -7 (−8) a.b 9. _-1_2", "\x1f-1\u2028.2 .3", "½-4 ٣.٣"], X.normalize)
+    assert got == ["1.2.3-4-5 x 6 -7 -8 a b 9 -1 2", "-1 2 3", "1 2-4 ٣.٣"]
+
+
+def test_nearest_vectors_over_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 7)
+    monkeypatch.setattr(R, "PART", 30)
+    monkeypatch.setattr(R, "ROWS", 8)
+    random = np.random.default_rng(5)
+    rows = [[float(x) for x in np.float32(v)] for v in random.normal(size=(120, 6))]
+    rows += [rows[0], rows[0], rows[3], [x + 1e-7 for x in rows[3]]]  # ties, and nearly so
+    vectors = spark.createDataFrame(list(enumerate(rows)), "doc_id long, v array<float>")
+    queries = vectors.where("doc_id % 6 = 0").selectExpr("doc_id as query_id", "v as q")
+    for metric, down in ((R.squared_l2, False), (R.cosine, True)):
+        pairs = vectors.crossJoin(queries).select("query_id", "doc_id", F.round(metric(F.col("q"), F.col("v")), 6).alias("score"))
+        want = R.top(pairs, ["query_id"], [F.desc("score") if down else F.asc("score"), F.asc("doc_id")], 5)
+        got = R.knn(queries, vectors, 5, metric, down)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+        # the pairs that all vectors and queries make are never rows
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_vectors_and_those_without_length(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, 1.0])], "doc_id long, v array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, q array<float>")
+    assert [r["doc_id"] for r in R.knn(queries, vectors, 5, R.cosine, True).orderBy("rank").collect()] == [1, 4, 3]
+    assert [r["doc_id"] for r in R.knn(queries, vectors, 5).orderBy("rank").collect()] == [1, 3, 4]
