@@ -131,12 +131,20 @@ def runs(markup: str, container: str | None = None) -> list[tuple[str, int, str]
     return parser.runs
 
 
-def blocks(html: Column, container: str | None = None) -> Column:
-    """Blocks (kind, level, text) of a page in order."""
+#: A sign of an entity that does not end in a semicolon.
+_OPEN = re.compile(r"&(?!#[0-9]+;|#[xX][0-9a-fA-F]+;|[0-9A-Za-z]+;)")
+
+
+def blocks(html: Column, container: str | None = None, closed_entities: bool = False) -> Column:
+    """Blocks (kind, level, text) of a page in order. closed_entities: what looks like an entity and has no semicolon is
+    text; otherwise those that HTML allows so are resolved."""
+
+    def prepared(page: str) -> str:
+        return _OPEN.sub("&amp;", page) if closed_entities else page
 
     @F.pandas_udf(SCHEMA)
     def read(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: None if p is None else [dict(zip(("kind", "level", "text"), r, strict=True)) for r in runs(p, container)])
+        return pages.map(lambda p: None if p is None else [dict(zip(("kind", "level", "text"), r, strict=True)) for r in runs(prepared(p), container)])
 
     return read(html)
 

@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.operators import blocks as B
 from lectern.operators import retrieval as R
 from lectern.operators import windows as W
+from lectern.plans import segmentation
 
 
 def column(spark, values, f):
@@ -57,3 +59,17 @@ def test_null_vectors_and_those_without_length(spark):
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, q array<float>")
     assert [r["doc_id"] for r in R.knn(queries, vectors, 5, R.cosine, True).orderBy("rank").collect()] == [1, 4, 3]
     assert [r["doc_id"] for r in R.knn(queries, vectors, 5).orderBy("rank").collect()] == [1, 3, 4]
+
+
+def test_entities_without_a_semicolon(spark):
+    page = ["<article><h1>a &amp;&lt; b&amp</h1><p>x &#x27;y&#39; &copy z&</p></article>"]
+    assert [b["text"] for b in column(spark, page, lambda c: B.blocks(c, "article", closed_entities=True))[0]] == ["a &< b&amp", "x 'y' &copy z&"]
+    assert [b["text"] for b in column(spark, page, lambda c: B.blocks(c, "article"))[0]] == ["a &< b&", "x 'y' © z&"]
+
+
+def test_lines_that_the_order_leaves_open_stand_as_in_the_table(spark, tmp_path):
+    rows = [(d, "R", 1, 7, float(q)) for d in range(50) for q in ((5, 20) if d % 2 else (20, 5))]
+    columns = "l_orderkey long, l_returnflag string, l_linenumber int, l_partkey long, l_quantity double"
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = segmentation.t_merge_toc(spark, str(tmp_path)).where("merged").collect()
+    assert sorted(r["doc"] for r in got) == list(range(1, 50, 2))
