@@ -45,11 +45,16 @@ def _word(c: str) -> bool:
     return c.isalnum() or c == "_"
 
 
-def occurrences(automaton: ahocorasick.Automaton, text: str, whole: bool, longest: bool) -> list[tuple[str, int, int]]:
-    """(title, start, end) in a lowered text, by start; with longest, without those inside a longer one."""
-    found = []
+def occurrences(automaton: ahocorasick.Automaton, text: str, whole: bool, longest: bool, apart: bool = False) -> list[tuple[str, int, int]]:
+    """(title, start, end) in a lowered text, by start; with longest, without those inside a longer one. apart:
+    those of one title do not overlap; each is looked for after the one before it, and then tested for whole words."""
+    found, after = [], {}
     for last, title in automaton.iter(text):
         start, end = last + 1 - len(title), last + 1
+        if apart:
+            if start < after.get(title, 0):
+                continue
+            after[title] = end
         if whole and ((start and _word(text[start - 1]) and _word(title[0])) or (end < len(text) and _word(text[end]) and _word(title[-1]))):
             continue
         found.append((title, start, end))
@@ -64,7 +69,7 @@ def occurrences(automaton: ahocorasick.Automaton, text: str, whole: bool, longes
     return found
 
 
-def _search(titles, whole: bool, longest: bool):
+def _search(titles, whole: bool, longest: bool, apart: bool):
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +77,7 @@ def _search(titles, whole: bool, longest: bool):
         for batch in batches:
             ids, rows = [], []
             for i, text in enumerate(batch.column(1)):
-                hits = occurrences(automaton, (text.as_py() or "").lower(), whole, longest)
+                hits = occurrences(automaton, (text.as_py() or "").lower(), whole, longest, apart)
                 ids.extend([i] * len(hits))
                 rows.extend(hits)
             title, start, end = zip(*rows) if rows else ((), (), ())
@@ -81,12 +86,13 @@ def _search(titles, whole: bool, longest: bool):
     return run
 
 
-def mentions(texts: DataFrame, titles: DataFrame, whole: bool = True, longest: bool = True) -> DataFrame:
+def mentions(texts: DataFrame, titles: DataFrame, whole: bool = True, longest: bool = True, apart: bool = False) -> DataFrame:
     """(doc_id, title, n, first): how often a text (doc_id long, text) mentions a title (title), in any case, and where first.
 
     whole: as whole words (a title that begins or ends with a mark needs no gap there). longest: a title inside the mention
     of a longer one is not mentioned. Titles that differ in case share their mentions; blank and null ones have none, nor
-    have null texts. Overlapping occurrences of one title count each."""
+    have null texts. Overlapping occurrences of one title count each, unless apart: then they are those of a split of the text
+    by the title."""
     spark = texts.sparkSession
     names = titles.select("title").where("title is not null").distinct().withColumn("folded", F.lower(F.trim("title"))).where("folded <> ''")
     folded = names.select("folded").distinct()
@@ -94,7 +100,7 @@ def mentions(texts: DataFrame, titles: DataFrame, whole: bool = True, longest: b
     found = None
     for b in range(blocks):
         block = [r[0].lower() for r in folded.where(F.pmod(F.xxhash64("folded"), F.lit(blocks)) == b).collect()]
-        hits = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_search(spark.sparkContext.broadcast(block), whole, longest), "doc_id long, folded string, start long, end long")
+        hits = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_search(spark.sparkContext.broadcast(block), whole, longest, apart), "doc_id long, folded string, start long, end long")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return spark.createDataFrame([], "doc_id long, title string, n long, first long")

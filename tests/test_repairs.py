@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import blocks as B
+from lectern.operators import mentions as M
 from lectern.operators import retrieval as R
 from lectern.operators import windows as W
 from lectern.plans import segmentation
@@ -73,3 +74,10 @@ def test_lines_that_the_order_leaves_open_stand_as_in_the_table(spark, tmp_path)
     spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = segmentation.t_merge_toc(spark, str(tmp_path)).where("merged").collect()
     assert sorted(r["doc"] for r in got) == list(range(1, 50, 2))
+
+
+def test_occurrences_of_one_title_apart(spark):
+    texts = spark.createDataFrame([(1, "the the the THE the"), (2, "xthe athe at the at"), (3, "the the")], "doc_id long, text string")
+    titles = spark.createDataFrame([("the the",), ("the at",)], "title string")
+    got = sorted(map(tuple, M.mentions(texts, titles, longest=False, apart=True).collect()))
+    assert got == [(1, "the the", 2, 0), (2, "the at", 1, 13), (3, "the the", 1, 0)]
