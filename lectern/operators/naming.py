@@ -27,13 +27,19 @@ def _strip(c: Column) -> Column:
 def rows_for_names(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """Rows (with a column book) of each asked name (ask_id, name): those whose key it is, else those whose title it is.
 
-    An equi-join on keys and titles, never a prefix. Whether a name has exact rows is a partial aggregate that is
-    joined back, so no name's rows are gathered. A null name or book matches nothing."""
+    An equi-join on keys and titles, never a prefix. Whether a name is a key is settled before it meets rows, so what is
+    found, which grows with the rows of a name times those that ask for it, is not moved again. A null name or book matches
+    nothing."""
+    names = asked.select("name").where("name is not null").distinct()
+    keys = rows.select(F.col("book").alias("name")).distinct()
+    exact = names.join(keys, "name", "left_semi").select("name", F.lit(False).alias("_by_title"))
+    kinds = exact.unionByName(names.join(keys, "name", "left_anti").select("name", F.lit(True).alias("_by_title")))
+    wanted = asked.select("ask_id", "name").join(kinds, "name").select("ask_id", F.col("name").alias("_key"), "_by_title")
     keyed = rows.withColumn("_key", F.col("book")).withColumn("_by_title", F.lit(False))
     titled = rows.withColumn("_key", X.title_of(F.col("book"))).withColumn("_by_title", F.lit(True)).where("_key <> book")
-    met = asked.select("ask_id", F.col("name").alias("_key")).join(keyed.unionByName(titled), "_key")
-    exact = met.groupBy("ask_id").agg(F.bool_and("_by_title").alias("_no_key"))
-    return met.join(exact, "ask_id").where("_by_title = _no_key").drop("_key", "_by_title", "_no_key")
+    # rows are dealt evenly first, as a few titles can have most of them
+    dealt = keyed.unionByName(titled).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return wanted.join(dealt, ["_key", "_by_title"]).drop("_key", "_by_title")
 
 
 def names_book(wanted: Column, key: Column) -> Column:

@@ -19,6 +19,8 @@ def test_rows_for_names(spark):
     by_title = N.rows_for_names(rows.where("book <> 'Emma'"), asked.where("ask_id = 1"))
     assert sorted(r.id for r in by_title.collect()) == [1, 6]
     assert N.rows_for_names(rows.limit(0), asked).count() == 0
+    plan = N.rows_for_names(rows, asked)._jdf.queryExecution().executedPlan().toString()
+    assert not any("Join" in line and "[ask_id" in line for line in plan.splitlines())  # what is found is not joined again
     assert column(spark, [("Emma", "Emma — X"), ("Em", "Emma — X"), ("Emma — X", "Emma — X")], "w string, k string", N.names_book(F.col("w"), F.col("k"))) == [True, False, True]
 
 
