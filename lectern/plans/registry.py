@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -13,11 +14,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: Bytes of a batch (or one row) that a Python worker takes at a time, so that its memory does not follow the texts' lengths.
+#: Spark reads the setting when a query runs, so it stays set for the session.
+BATCH_BYTES = 4 << 20
+
+
 def query(oracle: str | None = None):
     """Register a function (spark, sf_dir) -> DataFrame under its name."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark, sf_dir):
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if oracle:
             ORACLE_SQL[f.__name__] = oracle
         return f

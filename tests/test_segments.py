@@ -80,3 +80,14 @@ def test_an_index_is_built_once_for_the_same_files(spark, tmp_path):
     assert S.index_of(spark.read.parquet(f"{tmp_path}/d"), f"file://{tmp_path}").root != first.root
     plan = first.search(spark.createDataFrame([(1, "b")], "query_id long, text string"))._jdf.queryExecution().toString()
     assert f"{tmp_path}/d" not in plan
+
+
+def test_python_takes_long_texts_in_batches_of_bounded_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.plans import all as plans
+
+    plans.QUERIES["t_chunks"](spark, "/root/testdata/sf0.001")
+    rows = F.pandas_udf(lambda s: s.map(lambda x: len(s)), "long")
+    texts = spark.range(24, numPartitions=1).select(F.concat(F.repeat(F.lit("x"), 1 << 20), F.col("id").cast("string")).alias("text"))
+    assert texts.select(rows("text").alias("n")).agg(F.max("n")).first()[0] <= 5
