@@ -92,3 +92,10 @@ def test_runs_do_not_cross_joiners(spark):
     rows = spark.createDataFrame([("a b " * 300 + "pin " + "c d " * 300, "pin"), (None, "x"), ("abc", None)], "t string, q string")
     got = [r.w for r in rows.select(W.window(rows.t, rows.q, 200).alias("w")).collect()]
     assert "pin" in got[0].text and (got[1].text, got[1].whole) == ("", 0) and got[2].text == "abc"
+
+
+def test_tokens_of_wanted_words_alone():
+    from lectern.operators import windows as W
+
+    assert [t.word for t in W.tokens("The sea, the SEA and a 3.5-mile sea", {"sea", "3.5"})] == ["sea", "sea", "sea"]
+    assert W.tokens("of the sea", {"sea"}) == [t for t in W.tokens("of the sea") if t.word == "sea"]
