@@ -11,7 +11,8 @@ extended until the losses it survives exceed the bound. Most documents are settl
 Nodes of the join are distinct token sets, so exact copies cost one row. In each signature bucket all nodes are
 first verified against one pivot, links are contracted to components, and only node pairs of a bucket that lie
 in different components are verified after that: groups of near copies never expand into all pairs, and no
-link that could join two components is skipped.
+link that could join two components is skipped. Each node has a few words of parity bits of its tokens; as bits that
+differ bound from below by how many tokens two nodes differ, pairs too far apart do not leave a bucket's join.
 
 Nulls, empty and word-less texts have an empty set and link with nothing (component = own id). Rows that repeat a
 doc_id each give a row. Extra columns are ignored. An empty table gives an empty result.
@@ -37,6 +38,8 @@ from .words import A, P, U, mix, shingle_hashes, slices, whole_hash, words_of
 FLUSH_TOKENS = 1_000_000
 #: Tokens of a bucket on average; the number of buckets follows the corpus.
 BUCKET_TOKENS = 3_000_000
+#: Columns of 64 parity bits each that a node has.
+PARITY = [f"x{i}" for i in range(8)]
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[np.ndarray]:
@@ -258,8 +261,15 @@ def _pairs(token: np.ndarray, group: np.ndarray, level: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def parity(token: np.ndarray) -> list[int]:
+    """The words of PARITY: each bit tells whether an odd number of the tokens fall to it."""
+    bits = np.bincount((token % U(64 * len(PARITY))).astype(np.int64), minlength=64 * len(PARITY)).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _signed_sets(percent: int, frequent: int):
-    """Per node with possible partners: its set size, its shared tokens (their gaps, packed) and its signatures."""
+    """Per node with possible partners: its set size, its shared tokens (their gaps, packed), its signatures and the
+    parity of its shared tokens."""
 
     def run(batches):
         parts, known = [[], [], []], [[], []]
@@ -285,7 +295,7 @@ def _signed_sets(percent: int, frequent: int):
             n = int(size[np.searchsorted(whose, node[lo])])
             found = signatures(token[lo:hi], often[lo:hi], n, percent, frequent)
             if found is not None and len(found):
-                rows.append((int(node[lo]), n, hi - lo, pack(np.diff(token[lo:hi], prepend=U(0))), (found >> U(1)).astype(np.int64)))
+                rows.append((int(node[lo]), n, hi - lo, pack(np.diff(token[lo:hi], prepend=U(0))), (found >> U(1)).astype(np.int64), *parity(token[lo:hi])))
                 held += len(found) + hi - lo
             if held > 1_000_000:
                 yield _set_batch(rows)
@@ -298,8 +308,8 @@ def _signed_sets(percent: int, frequent: int):
 
 def _set_batch(rows):
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.list_(pa.int64()))],
-        names=["node", "n", "s", "tokens", "sigs"],
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.list_(pa.int64())), *[pa.array([r[5 + i] for r in rows], pa.int64()) for i in range(len(PARITY))]],
+        names=["node", "n", "s", "tokens", "sigs", *PARITY],
     )
 
 
@@ -349,11 +359,16 @@ def _beside(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return tokens.join(nodes, "node")
 
 
-def _sides(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs a < b of rows that agree in the keys and lie in different components."""
-    names = [c for c in ("n", "s", "label", "p", "c") if c not in keys]
+def _sides(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Pairs a < b of rows that agree in the keys, lie in different components and may link by their sizes and parity.
+
+    Twice a link's intersection is 2 * percent / (100 + percent) of the summed sizes at least. It is also s_a + s_b less
+    the number of shared tokens that only one of the two has, which is no less than the number of parity bits that differ."""
+    names = [c for c in ("n", "s", "label", "p", "c", *PARITY) if c not in keys]
     one, other = (rows.select(*keys, F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in ("a", "b"))
-    return one.join(other, keys).where("a < b and label_a <> label_b")
+    apart = " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in PARITY)
+    near = f"{100 + percent} * (s_a + s_b - ({apart})) >= {2 * percent} * (n_a + n_b)"
+    return one.join(other, keys).where("a < b and label_a <> label_b").where(near)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5, frequent: int = 32) -> DataFrame:
@@ -377,7 +392,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # sizes go to a node's bucket once, and not beside its tokens
     set_sizes = members.where("node is not null").select("node", F.col("n_shingles").alias("n")).distinct().mapInArrow(_set_sizes(buckets), "bucket int, block binary")
     sets = materialize(
-        shared.union(set_sizes).repartitionById(buckets, F.col("bucket")).mapInArrow(_signed_sets(percent, frequent), "node long, n long, s long, tokens binary, sigs array<long>"), "sets"
+        shared.union(set_sizes).repartitionById(buckets, F.col("bucket")).mapInArrow(_signed_sets(percent, frequent), "node long, n long, s long, tokens binary, sigs array<long>" + "".join(f", {x} long" for x in PARITY)), "sets"
     )
     # A link's intersection is percent / (100 + percent) of the summed sizes at least, and no larger than what
     # either set shares with any other.
@@ -395,15 +410,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the same pivot p share at most the lesser of their shares with p, and what they share beside p. So pairs whose
     # shares with p could not do alone must have a token beside p in common: they come from an index of those tokens.
     known = star.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("own", "a", "common")).alias("best"))
-    nodes = sets.select("node", "n", "s").join(labels, "node", "left").join(known, "node", "left")
-    nodes = materialize(nodes.select("node", "n", "s", F.coalesce("label", "node").alias("label"), F.coalesce("best.a", "node").alias("p"), F.coalesce("best.common", "s").alias("c")), "nodes")
+    nodes = sets.select("node", "n", "s", *PARITY).join(labels, "node", "left").join(known, "node", "left")
+    nodes = materialize(nodes.select("node", "n", "s", *PARITY, F.coalesce("label", "node").alias("label"), F.coalesce("best.a", "node").alias("p"), F.coalesce("best.common", "s").alias("c")), "nodes")
     # labels are joined to whole signature lists, and only nodes of mixed buckets get the rest
     labelled = sets.select("node", "sigs").join(nodes.select("node", "label"), "node").select(F.explode("sigs").alias("sig"), "node", "label")
     mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
     buckets_left = sets.select(F.explode("sigs").alias("sig"), "node").join(mixed, "sig").join(nodes, "node")
     alone = f"(p_a <> p_b or {100 + percent} * least(c_a, c_b) >= {percent} * (n_a + n_b))"
-    by_sig = _sides(buckets_left, ["sig"]).where(fits).where(alone).select("a", "b", "n_a", "n_b").distinct()
-    beside = _sides(_beside(nodes, sets), ["p", "token"]).where(fits).where(f"not {alone.replace('p_a <> p_b or ', '')}")
+    by_sig = _sides(buckets_left, ["sig"], percent).where(fits).where(alone).select("a", "b", "n_a", "n_b").distinct()
+    beside = _sides(_beside(nodes, sets), ["p", "token"], percent).where(fits).where(f"not {alone.replace('p_a <> p_b or ', '')}")
     beside = beside.where(f"{100 + percent} * (least(c_a, c_b) + least(s_a - c_a, s_b - c_b)) >= {percent} * (n_a + n_b)")
     beside = beside.groupBy("a", "b", "n_a", "n_b", F.least("c_a", "c_b").alias("c")).agg(F.count("*").alias("k"))
     beside = beside.where(f"{100 + percent} * (c + k) >= {percent} * (n_a + n_b)").select("a", "b", "n_a", "n_b")

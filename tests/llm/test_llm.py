@@ -98,6 +98,37 @@ def test_ngram_join_of_small_sets(spark, percent):
     assert {r["doc_id"]: r["component_id"] for r in got} == groups(sets, percent)
 
 
+def test_ngram_join_copies_of_one_text_do_not_pair(spark, monkeypatch):
+    """Copies of one text, each edited too much to link, share a passage that the text has not: few of their pairs are met."""
+    rng, kept, sides = random.Random(3), [], ngram_join._sides
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(k, places):
+        return " ".join(f"e{k}" if i in places else "same" if k and i == 75 else w for i, w in enumerate(base))
+
+    rows = [(0, " ".join(base))] + [(k, edited(k, set(rng.sample(range(10, 60, 5), 2) + rng.sample(range(90, 140, 5), 2)))) for k in range(1, 81)]
+    rows += [(100 + k, edited(k, {100 + 5 * k}).replace("same", "w75")) for k in range(3)] + [(200, rows[5][1] + " more"), (201, rows[5][1] + " still more")]
+    monkeypatch.setattr(ngram_join, "_sides", lambda *x: kept.append(sides(*x)) or kept[-1])
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = {i: shingles(t) for i, t in rows}
+    assert {r["doc_id"]: r["component_id"] for r in got} == groups(sets, 75)
+    fits = "175 * least(s_a, s_b) >= 75 * (n_a + n_b)"
+    assert len(kept) == 2 and sum(x.where(fits).count() for x in kept) <= 4 * len(rows)
+
+
+def test_parity_tells_how_far_sets_are_apart():
+    """The bits that differ are no more than the tokens that one of two sets has, and as many if those are few."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for size, off in ((0, 1), (40, 3), (500, 30), (5000, 400)):
+        both, one, other = (rng.integers(0, 1 << 44, n).astype(np.uint64) for n in (size, off, off // 2))
+        a, b = np.unique(np.concatenate((both, one))), np.unique(np.concatenate((both, other)))
+        differ = sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(ngram_join.parity(a), ngram_join.parity(b)))
+        apart = len(np.setxor1d(a, b))
+        assert differ <= apart and (apart - differ) % 2 == 0 and (off > 3 or differ >= apart - 2)
+
+
 def test_ngram_join_empty_and_long(spark, nothing, monkeypatch):
     from lectern.llm import words as hashed
 
