@@ -113,11 +113,16 @@ def mentions(texts: DataFrame, titles: DataFrame, whole: bool = True, longest: b
 
 def books_named(questions: DataFrame, books: DataFrame) -> DataFrame:
     """(doc_id, book) of the books (book) whose title or whose author's last name a question (doc_id, text) holds as whole
-    words. A name inside a longer one counts, as each book is asked about by itself."""
+    words. A name inside a longer one counts, as each book is asked about by itself. A book met by its author is left out
+    where its title is met too, so that rows are single as they are made and need not be compared with each other."""
     names = books.select("book").where("book is not null").distinct()
-    keyed = names.select("book", F.explode(F.array(X.title_of(F.col("book")), F.regexp_extract(X.author_of(F.col("book")), r"(\S+)\s*$", 1))).alias("title"))
-    keyed = keyed.where("title <> ''")
-    return mentions(questions, keyed, longest=False).join(keyed, "title").select("doc_id", "book").distinct()
+    own = F.coalesce(X.title_of(F.col("book")), F.lit(""))
+    surname = F.regexp_extract(X.author_of(F.col("book")), r"(\S+)\s*$", 1)
+    keys = F.array(F.struct(own.alias("title"), F.lit("").alias("own")), F.struct(surname.alias("title"), own.alias("own")))
+    keyed = names.select("book", F.inline(keys)).where("title <> '' and title <> own")
+    held = mentions(questions, keyed, longest=False).groupBy("doc_id").agg(F.collect_set("title").alias("titles"))
+    met = held.select("doc_id", "titles", F.explode("titles").alias("title")).join(keyed, "title")
+    return met.where(~F.array_contains("titles", F.col("own"))).select("doc_id", "book")
 
 
 def books_in_window(hits: DataFrame, expected: DataFrame) -> DataFrame:

@@ -51,6 +51,17 @@ def test_books_named_is_named_in_of_all_pairs(spark):
     assert {tuple(r) for r in M.books_named(q, b).collect()} == want and len(want) >= 6
 
 
+def test_books_named_are_single_as_they_are_made(spark):
+    """No aggregate over the rows of questions and books, whose number is a multiple of the questions'."""
+    books = [("Emma — Ann Emma",), ("Emma — Jane Austen",), ("emma — X. AUSTEN",), ("Austen — Austen",), ("— Poe",), (None,), ("Emma — Jane Austen",)]
+    asked = [(1, "Emma by Austen, emma"), (2, "austen"), (2, "Emma"), (3, "see — Poe"), (4, None)]
+    found = M.books_named(spark.createDataFrame(asked, "doc_id long, text string"), spark.createDataFrame(books, "book string"))
+    rows = sorted(tuple(r) for r in found.collect())
+    four = [b for (b,) in books[:4]]
+    assert rows[:-1] == sorted((k, b) for k in (1, 2) for b in four) and rows[-1] == (3, "— Poe")
+    assert not re.search(r"Aggregate \[doc_id#\d+L?, book#", found._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_books_in_window(spark):
     hits = spark.createDataFrame([(1, 1, "A Dracula — S"), (1, 2, "Dracula — S"), (1, 3, None), (2, 1, "Emma")], "query_id long, rank int, book string")
     expected = spark.createDataFrame([(1, "dracula"), (1, "Emma"), (2, "emma"), (3, "Emma")], "query_id long, title string")
