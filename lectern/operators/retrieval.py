@@ -129,6 +129,10 @@ def postings(docs: DataFrame) -> DataFrame:
 SPREAD = 8
 
 
+#: Terms of queries (query_id, term) that are sent to all postings at most.
+TERMS = 200_000
+
+
 class Index(NamedTuple):
     """A BM25 index that was written: postings (term, doc_id, tf, dl), terms (term, df) and sizes (n, mean), one row."""
 
@@ -169,10 +173,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def scored(terms: DataFrame, postings: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """The first k documents by BM25 of terms (query_id, term, df), from postings (term, doc_id, tf, dl) and sizes (n, mean)."""
+    """The first k documents by BM25 of terms (query_id, term, df), from postings (term, doc_id, tf, dl) and sizes (n, mean).
+
+    Up to TERMS terms of queries are sent to the postings, which are dealt by document first: each posting then moves
+    once, however many queries have its term, and sums do not move at all. More terms meet postings by term."""
     weighed = terms.join(F.broadcast(sizes))
     weighed = weighed.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     w = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    if terms.limit(TERMS + 1).count() <= TERMS:
+        weighed, postings = F.broadcast(weighed), postings.repartition("doc_id")
     sums = weighed.join(postings, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(w), 6).alias("score"))
     return top(sums, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 

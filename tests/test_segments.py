@@ -1,6 +1,7 @@
 """An index that follows its documents against one built anew."""
 
 import random
+import re
 
 import pytest
 
@@ -91,3 +92,14 @@ def test_python_takes_long_texts_in_batches_of_bounded_bytes(spark):
     rows = F.pandas_udf(lambda s: s.map(lambda x: len(s)), "long")
     texts = spark.range(24, numPartitions=1).select(F.concat(F.repeat(F.lit("x"), 1 << 20), F.col("id").cast("string")).alias("text"))
     assert texts.select(rows("text").alias("n")).agg(F.max("n")).first()[0] <= 5
+
+
+def test_sums_of_scores_stay_with_their_documents(spark, monkeypatch):
+    """Postings are dealt by document before they meet the queries, so sums are not dealt anew; more terms than may be sent give the same."""
+    terms = spark.createDataFrame([(q, t, 2) for q in range(3) for t in "abc"], "query_id long, term string, df long")
+    held = spark.createDataFrame([(t, d, 1 + d % 3, 7) for d in range(30) for t in "abcd" if (d + ord(t)) % 2], "term string, doc_id long, tf long, dl int")
+    sizes = spark.createDataFrame([(30, 7.0)], "n long, mean double")
+    sent = R.scored(terms, held, sizes, 4)
+    assert "hashpartitioning(query_id, doc_id" not in re.sub(r"#\d+L?", "", sent._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(R, "TERMS", 3)
+    assert sorted(map(tuple, sent.collect())) == sorted(map(tuple, R.scored(terms, held, sizes, 4).collect())) and sent.count() == 12
