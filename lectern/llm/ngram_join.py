@@ -36,8 +36,12 @@ from .words import A, P, U, mix, shingle_hashes, slices, whole_hash, words_of
 
 #: Tokens a map task gathers before it writes one block per bucket.
 FLUSH_TOKENS = 1_000_000
-#: Tokens of a bucket on average; the number of buckets follows the corpus.
-BUCKET_TOKENS = 3_000_000
+#: Tokens of a span on average, which are gathered at a time, and of all documents to a bucket of nodes; the number of
+#: both follows the corpus.
+SPAN_TOKENS = 3_000_000
+#: Buckets of spans, a task each, where there are no more cores. Each has the ids of nearly all nodes once, so that with
+#: many a token of a document would come with an id of its own.
+TOKEN_BUCKETS = 64
 #: Columns of 64 parity bits each that a node has.
 PARITY = [f"x{i}" for i in range(8)]
 
@@ -114,27 +118,43 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _token_blocks(width: int, shift: int, buckets: int, percent: int):
-    """Per map task and bucket one block of (token, node) entries sorted by token."""
+def _block(token: np.ndarray, owner: np.ndarray, *more: np.ndarray) -> bytes:
+    """Entries sorted by token: gaps of the tokens, owners in as few bytes as they need, and what else goes with them."""
+    return pack(np.diff(token, prepend=U(0)), owner.astype(np.uint16 if int(owner.max()) < 65536 else np.uint32), *more)
+
+
+def _span_of(token: np.ndarray, bits: int, spans: int) -> np.ndarray:
+    """Which of as many equal ranges a token of so many bits lies in."""
+    return (((token >> U(bits - 32)) * U(spans)) >> U(32)).astype(np.int64)
+
+
+def _token_blocks(width: int, bits: int, spans: int, buckets: int, percent: int):
+    """Per flush of a map task and bucket (a run of spans): its nodes (span -1), and per span one block of (token, owner)
+    entries sorted by token, with owners as places among those nodes."""
 
     def flush(tokens, nodes, sizes):
-        token = np.concatenate(tokens)
-        owner = np.repeat(np.arange(len(nodes), dtype=np.uint32), sizes)
-        bucket = (token % U(buckets)).astype(np.int64)
-        order = np.lexsort((token, bucket)) if buckets > 1 else np.argsort(token)
-        token, owner, bucket = token[order], owner[order], bucket[order]
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        node = np.array(nodes, dtype=np.uint64)
-        ids, blobs = [], []
+        ordered = np.argsort(np.array(nodes, dtype=np.uint64))
+        node = np.array(nodes, dtype=np.uint64)[ordered]
+        token = np.concatenate([tokens[i] for i in ordered])
+        owner = np.repeat(np.arange(len(nodes), dtype=np.uint32), np.array(sizes)[ordered])
+        order = np.argsort(token)
+        token, owner = token[order], owner[order]
+        name = xxhash.xxh3_64_intdigest(node.tobytes()) >> 1
+        cuts = np.searchsorted(_span_of(token, bits, spans), np.arange(spans + 1))
+        first = -(-np.arange(buckets + 1) * spans // buckets)  # of each bucket: span * buckets // spans is the bucket
+        rows = []
         for b in range(buckets):
-            lo, hi = cuts[b], cuts[b + 1]
-            if lo < hi:
-                used, local = np.unique(owner[lo:hi], return_inverse=True)
-                t = token[lo:hi]
-                blob = pack(np.diff(t, prepend=U(0)), local.astype(np.uint16 if len(used) < 65536 else np.uint32), node[used])
-                ids.append(b), blobs.append(blob)
-        for i in range(0, len(ids), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 64], pa.int32()), pa.array(blobs[i : i + 64], pa.binary())], names=["bucket", "block"])
+            lo, hi = cuts[first[b]], cuts[first[b + 1]]
+            if lo == hi:
+                continue
+            used, local = np.unique(owner[lo:hi], return_inverse=True)
+            rows.append((b, -1, name, pack(np.diff(node[used], prepend=U(0)))))
+            for span in range(first[b], first[b + 1]):
+                x, y = cuts[span], cuts[span + 1]
+                if x < y:
+                    rows.append((b, span, name, _block(token[x:y], local[x - lo : y - lo])))
+        for i in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64]), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "span", "flush", "block"])
 
     def run(batches):
         tokens, nodes, sizes, seen, held = [], [], [], set(), 0
@@ -145,7 +165,7 @@ def _token_blocks(width: int, shift: int, buckets: int, percent: int):
                 key = node_key(s)
                 if key in seen:
                     continue
-                seen.add(key), tokens.append(s >> U(shift)), nodes.append(key), sizes.append(len(s))
+                seen.add(key), tokens.append(s >> U(64 - bits)), nodes.append(key), sizes.append(len(s))
                 held += len(s)
             if held >= FLUSH_TOKENS:
                 yield from flush(tokens, nodes, sizes)
@@ -156,50 +176,74 @@ def _token_blocks(width: int, shift: int, buckets: int, percent: int):
     return run
 
 
+def _of_one_span(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, node, often) of tokens that two or more nodes hold, often: of how many."""
+    token, node = (np.concatenate(p) for p in zip(*parts))
+    order = np.argsort(token)
+    token = token[order]
+    same = token[1:] == token[:-1]
+    keep = np.zeros(len(token), dtype=bool)
+    keep[1:] |= same
+    keep[:-1] |= same
+    token, order = token[keep], order[keep]
+    node = node[order]
+    order = np.lexsort((node, token))
+    token, node = token[order], node[order]
+    if len(token):
+        first = np.ones(len(token), dtype=bool)
+        first[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        token, node = token[first], node[first]
+    _, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
+    often = count[inverse].astype(np.uint32)
+    keep = often > 1
+    return token[keep], node[keep], often[keep]
+
+
 def _shared_tokens(buckets: int):
-    """Of one token bucket: the entries of tokens that two or more nodes hold, with their frequency, by node bucket."""
+    """Of one token bucket, whose rows come by span: the entries of tokens that two or more nodes hold, with their
+    frequency, by node bucket. One span's entries, and FLUSH_TOKENS or so of those kept, are held at a time."""
 
-    def run(batches):
-        parts = [[], []]
-        for batch in batches:
-            for blob in batch.column(1).to_pylist():
-                gaps, local, node = unpack(blob)
-                parts[0].append(np.cumsum(gaps)), parts[1].append(node[local])
-        if not parts[0]:
-            return
-        token, node = (np.concatenate(p) for p in parts)
-        del parts
-        order = np.argsort(token)
-        token = token[order]
-        same = token[1:] == token[:-1]
-        keep = np.zeros(len(token), dtype=bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        token, order = token[keep], order[keep]
-        node = node[order]
-        order = np.lexsort((node, token))
-        token, node = token[order], node[order]
-        if len(token):
-            first = np.ones(len(token), dtype=bool)
-            first[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, node = token[first], node[first]
-        _, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
-        often = count[inverse].astype(np.uint32)
-        keep = often > 1
-        token, node, often = token[keep], node[keep], often[keep]
+    def emit(found):
+        token, node, often = (np.concatenate(p) for p in zip(*found))
         bucket = (node % U(buckets)).astype(np.int64)
-        order = np.lexsort((token, node, bucket))
+        order = np.lexsort((node, token, bucket))
         token, node, often, bucket = token[order], node[order], often[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         ids, blobs = [], []
         for b in range(buckets):
             lo, hi = cuts[b], cuts[b + 1]
             if lo < hi:
+                used, local = np.unique(node[lo:hi], return_inverse=True)
                 ids.append(b)
-                blobs.append(pack(token[lo:hi], node[lo:hi], often[lo:hi]))
+                blobs.append(_block(token[lo:hi], local, often[lo:hi], np.diff(used, prepend=U(0))))
         for i in range(0, len(ids), 64):
             yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 64], pa.int32()), pa.array(blobs[i : i + 64], pa.binary())], names=["bucket", "block"])
 
+    def run(batches):
+        nodes: dict[tuple[int, int], np.ndarray] = {}
+        bucket = at = None
+        parts, found, held = [], [], 0
+        for batch in batches:
+            for b, span, flush, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if parts and (b, span) != (bucket, at):
+                    found.append(_of_one_span(parts))
+                    parts, held = [], held + len(found[-1][0])
+                if b != bucket:
+                    nodes = {}
+                bucket, at = b, span
+                if held >= FLUSH_TOKENS:
+                    yield from emit(found)
+                    found, held = [], 0
+                if span < 0:
+                    nodes[flush] = np.cumsum(unpack(blob)[0])
+                else:
+                    gaps, local = unpack(blob)
+                    parts.append((np.cumsum(gaps), nodes[flush][local]))
+        if parts:
+            found.append(_of_one_span(parts))
+        if found:
+            yield from emit(found)
+
     return run
 
 
@@ -276,6 +320,9 @@ def _signed_sets(percent: int, frequent: int):
         for batch in batches:
             for blob in batch.column(1).to_pylist():
                 arrays = unpack(blob)
+                if len(arrays) > 2:
+                    gaps, local, often, used = arrays
+                    arrays = np.cumsum(gaps), np.cumsum(used)[local], often
                 for p, x in zip(known if len(arrays) == 2 else parts, arrays):
                     p.append(x)
         if not parts[0]:
@@ -331,17 +378,23 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(common, pa.int64())], names=["a", "b", "n_a", "n_b", "own", "common"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b, n_a, n_b, own) with common and linked. Sets travel to a's side once for each b."""
+def _with_tokens(pairs: DataFrame, sets: DataFrame, one: str, other: str) -> DataFrame:
+    """A written table of pairs with the tokens of both, t_{one} and t_{other}. Where pairs are few, only their sets move."""
     body = sets.select("node", "tokens")
-    withb = pairs.join(body.select(F.col("node").alias("b"), F.col("tokens").alias("t_b")), "b")
-    both = withb.join(body.select(F.col("node").alias("a"), F.col("tokens").alias("t_a")), "a")
+    withother = pairs.join(body.select(F.col("node").alias(other), F.col("tokens").alias(f"t_{other}")), other)
+    asked = pairs.select(one).distinct().join(body.select(F.col("node").alias(one), F.col("tokens").alias(f"t_{one}")), one)
+    return withother.join(asked, one)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b, n_a, n_b, own), a written table, with common and linked. Sets travel to a's side once for each b."""
+    both = _with_tokens(pairs, sets, "a", "b")
     counted = both.select("a", "b", "n_a", "n_b", "own", "t_a", "t_b").mapInArrow(_counted, "a long, b long, n_a long, n_b long, own long, common long")
     return counted.withColumn("linked", F.expr(f"100 * common >= {percent} * (n_a + n_b - common)"))
 
 
 def _outside(batches):
-    """(node, token) of (node, tokens, tokens_p): the node's shared tokens that p has not."""
+    """(node, token) of (node, t_node, t_p): the node's shared tokens that p has not."""
     for batch in batches:
         nodes, mine, theirs = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
         kept = [np.setdiff1d(_tokens(mine[i]), _tokens(theirs[i]), assume_unique=True) for i in range(len(nodes))]
@@ -353,9 +406,8 @@ def _beside(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     than one component."""
     around = nodes.where("p <> node")
     mixed = around.groupBy("p").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("p")
-    body = sets.select("node", "tokens")
-    pairs = around.where("s > c").join(mixed, "p").select("node", "p").join(body, "node").join(body.select(F.col("node").alias("p"), F.col("tokens").alias("t_p")), "p")
-    tokens = pairs.select("node", "tokens", "t_p").mapInArrow(_outside, "node long, token long")
+    pairs = materialize(around.where("s > c").join(mixed, "p").select("node", "p"), "beside")
+    tokens = _with_tokens(pairs, sets, "p", "node").select("node", "t_node", "t_p").mapInArrow(_outside, "node long, token long")
     return tokens.join(nodes, "node")
 
 
@@ -386,9 +438,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return members.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     # Token hashes are cut to as many bits as keep chance agreement negligible at this size.
     bits = min(64, max(44, math.ceil(math.log2(total)) + 12))
-    buckets = max(shuffle_partitions(spark), -(-total // BUCKET_TOKENS))
-    blocks = texts.mapInArrow(_token_blocks(width, 64 - bits, buckets, percent), "bucket int, block binary")
-    shared = blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared_tokens(buckets), "bucket int, block binary")
+    buckets = max(shuffle_partitions(spark), -(-total // SPAN_TOKENS))
+    few = min(buckets, max(TOKEN_BUCKETS, spark.sparkContext.defaultParallelism))
+    blocks = texts.mapInArrow(_token_blocks(width, bits, buckets, few, percent), "bucket int, span int, flush long, block binary")
+    shared = blocks.repartitionById(few, F.col("bucket")).sortWithinPartitions("bucket", "span").mapInArrow(_shared_tokens(buckets), "bucket int, block binary")
     # sizes go to a node's bucket once, and not beside its tokens
     set_sizes = members.where("node is not null").select("node", F.col("n_shingles").alias("n")).distinct().mapInArrow(_set_sizes(buckets), "bucket int, block binary")
     sets = materialize(
@@ -404,7 +457,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = sets.select("node", "n", "s")
     for x in ("a", "b"):
         star = star.join(sizes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}")), x)
-    star = materialize(_verified(star.where(fits).select("a", "b", "n_a", "n_b", "own"), sets, percent), "star")
+    star = materialize(star.where(fits).select("a", "b", "n_a", "n_b", "own"), "candidates")
+    star = materialize(_verified(star, sets, percent), "star")
     labels = components(star.where("linked"))
     # What is left: pairs of a bucket that lie in different components and are not yet verified. Two nodes that met
     # the same pivot p share at most the lesser of their shares with p, and what they share beside p. So pairs whose

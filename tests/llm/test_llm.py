@@ -142,6 +142,39 @@ def test_ngram_join_empty_and_long(spark, nothing, monkeypatch):
     assert cut.digits.tolist() == [any(48 <= c < 58 for c in w) for t in texts for w in t.split()]
 
 
+def test_ngram_join_blocks_do_not_grow_with_the_corpus(spark, monkeypatch):
+    """With a hundred times as many token ranges, a document's tokens do not each come with an id of their own."""
+    import pyarrow as pa
+
+    rng, made, blocks = random.Random(8), [], ngram_join._token_blocks
+    rows = [(i, " ".join(words(rng, 400))) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["doc_id", "text"])
+
+    class Made(Exception):
+        pass
+
+    def make(*x):
+        made.append(blocks(*x))
+        raise Made
+
+    monkeypatch.setattr(ngram_join, "_token_blocks", make)
+    for partitions in (10, 1000):
+        monkeypatch.setattr(ngram_join, "shuffle_partitions", lambda _: partitions)
+        with pytest.raises(Made):
+            ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    few, many = (sum(len(x) for out in run(iter([batch])) for x in out.column(out.schema.get_field_index("block")).to_pylist()) for run in made)
+    assert many < 1.5 * few
+
+
+def test_ngram_join_of_many_spans(spark, docs, awkward, monkeypatch):
+    """Buckets of many spans, and blocks of few tokens, give the same groups."""
+    for name, value in (("SPAN_TOKENS", 400), ("TOKEN_BUCKETS", 2), ("FLUSH_TOKENS", 300)):
+        monkeypatch.setattr(ngram_join, name, value)
+    sets = {r[0]: shingles(r[1]) for r in awkward}
+    got = ngram_join.near_duplicates(docs).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {k: (len(sets[k]), n) for k, n in groups(sets, 75).items()}
+
+
 def test_signatures_meet():
     """Sets with enough in common always share a signature, whatever the frequencies."""
     import numpy as np
