@@ -229,10 +229,21 @@ def html_title(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
 
 
-def between_markers(text: Column) -> Column:
-    """The text between a line that starts and a line that ends a distributed file; all of it without them."""
-    body = F.regexp_extract(text, r"(?s)\*\*\* START OF[^\n]*\n(.*?)(?:\n\*\*\* END OF|\z)", 1)
-    return F.trim(F.when(body != "", body).otherwise(text))
+#: Fixed value: the characters that are spaces (Unicode's Zs).
+SPACES = " \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def between_markers(text: Column, name: Column | None = None) -> Column:
+    """The text between the first line that starts a distributed file and the first line after it that ends it (lines of
+    that name, where one is given); all of it without a line that starts. Spaces at both ends are left out."""
+    named = F.lit("") if name is None else F.concat(F.lit(" "), name)
+    lines = F.concat(F.lit("\n"), text)
+    start = F.position(F.concat(F.lit("\n*** START OF"), named), lines)
+    marked = F.substr(lines, start + 1)
+    # begins with the line's end, so that a line that ends the file may follow at once
+    body = F.when(F.contains(marked, F.lit("\n")), F.substr(marked, F.position(F.lit("\n"), marked))).otherwise("")
+    inner = F.call_function("substring_index", body, F.concat(F.lit("\n*** END OF"), named), F.lit(1))
+    return F.trim(F.when(start > 0, F.substr(inner, F.lit(2))).otherwise(text), F.lit(SPACES))
 
 
 def furniture(docs: DataFrame, least: int = 4) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from lectern.functions import text as X
 from lectern.operators import blocks as B
 from lectern.operators import mentions as M
 from lectern.operators import retrieval as R
+from lectern.operators import segment as S
 from lectern.operators import windows as W
 from lectern.plans import segmentation
 
@@ -81,3 +83,15 @@ def test_occurrences_of_one_title_apart(spark):
     titles = spark.createDataFrame([("the the",), ("the at",)], "title string")
     got = sorted(map(tuple, M.mentions(texts, titles, longest=False, apart=True).collect()))
     assert got == [(1, "the the", 2, 0), (2, "the at", 1, 13), (3, "the the", 1, 0)]
+
+
+def test_framed_texts_come_out_whole(spark, tmp_path):
+    texts = ["", " ", "\n", " a b ", "\xa0a\u3000", "\u2003", "x\n*** END OF THIS FILE ***\ny", "*** START OF A\nx", "*** END OF A", "\n*** START OF B\n\n*** END OF B\nz", "e\n\n", None]
+    spark.createDataFrame([(i, "en", "web", t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, lang string, source string, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(f"SELECT doc_id, md5(trim(text)) AS body FROM '{tmp_path}/documents.parquet/*.parquet' ORDER BY doc_id").fetchall()
+    assert list(map(tuple, segmentation.t_boilerplate(spark, str(tmp_path)).orderBy("doc_id").collect())) == want
+
+
+def test_text_between_markers(spark):
+    texts = ["head\n*** START OF X ***\n body \n*** END OF X ***\nlicence\n*** END OF", "*** START OF X\n*** END OF X", "*** START OF X\nto the end", "*** START OF X", " without ", "a\n*** END OF X"]
+    assert column(spark, texts, S.between_markers) == ["body", "", "to the end", "", "without", "a\n*** END OF X"]
